@@ -28,11 +28,14 @@ def digit(text: Column, pos: int) -> Column:
 
 
 def weighted(text: Column, weights: tuple[int, ...], each_mod: int | None = None) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights, 1):
-        term = digit(text, i) * w
-        total = total + (term % each_mod if each_mod else term)
-    return total
+    """Weighted sum of the leading digits."""
+    def term(c: Column, w: Column) -> Column:
+        product = (F.ascii(c) - 48) * w
+        return product % each_mod if each_mod else product
+
+    chars = F.slice(F.split(text, ""), 1, len(weights))
+    terms = F.zip_with(chars, F.expr(f"array({', '.join(map(str, weights))})"), term)
+    return F.aggregate(terms, F.lit(0), lambda acc, x: acc + x)
 
 
 def valid_luhn(text: Column) -> Column:

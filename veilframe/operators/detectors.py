@@ -289,7 +289,7 @@ def _case(key: Column, branches: list[tuple[int, Column]], default: Column | Non
 
 
 def _constants(values: list) -> Column:
-    return F.array(*map(F.lit, values))
+    return F.expr(f"array({', '.join('NULL' if v is None else repr(v) for v in values)})")
 
 
 def candidates(rules: list[Rule], views: Views, hits: Column) -> Column:
