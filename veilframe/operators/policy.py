@@ -45,8 +45,7 @@ def sanitize_policies(df: DataFrame, json_col: str = "policy_json") -> DataFrame
         if kind == "flag":
             columns[name] = F.when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         elif kind == "types":
-            known = F.array(*map(F.lit, KNOWN_TYPES))
-            columns[name] = F.filter(_texts(value), lambda x, known=known: F.array_contains(known, x))
+            columns[name] = F.filter(_texts(value), lambda x: x.isin(*KNOWN_TYPES))
         elif kind == "texts":
             columns[name] = _texts(value)
         else:

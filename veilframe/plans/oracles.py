@@ -236,7 +236,7 @@ PLACE = "regexp_extract({0}, '^https://([^?]*)', 1)"
 WIDE = "wide AS (SELECT doc_id, translate(text, '{0}', '{1}') AS shown, text FROM documents)".format(
     FULL_WIDTH_FROM, FULL_WIDTH_TO)
 NUMBERS = ", ".join(
-    f"substr(lpad((o_orderkey * {m} + 7)::VARCHAR, greatest({w}, length((o_orderkey * {m} + 7)::VARCHAR)), '{pad}'), 1, {w})"
+    f"substr(lpad((o_orderkey * {m} + 7)::VARCHAR, greatest({w}, length((o_orderkey * {m} + 7)::VARCHAR))::INT, '{pad}'), 1, {w})"
     f" AS {n}" for n, w, m, pad in (
         ("d9", 9, 7919, "1"), ("d10", 10, 104729, "7"), ("d11", 11, 1299709, "2"), ("d12", 12, 15485863, "5"),
         ("d13", 13, 32452843, "1"), ("d15", 15, 49979687, "3"), ("d16", 16, 67867967, "4"),
