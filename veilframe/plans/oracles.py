@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from veilframe.functions.placeholders import INSTRUCTION
 from veilframe.operators import generate as g
+from veilframe.operators.persons import NOT_NAMES
 from veilframe.plans.queries import FULL_WIDTH_FROM, FULL_WIDTH_TO, HOSTS
 from veilframe.sources.catalog import SITES
 
@@ -206,6 +207,62 @@ def corpus(source: str = "customer", key: str = "c_custkey") -> str:
       labels AS (SELECT id, text, unnest(ls).type AS type, unnest(ls).value AS value FROM gen)"""
 
 
+def business() -> str:
+    """CTE ``labels(id, text, type, value, confidence)`` of the business texts."""
+    t9 = f"(1 * 3 + {weighted('aba_b', (0, 7, 1, 3, 7, 1, 3, 7))})"
+    bodies = {
+        "acc_b": f"'40702810' || {digits('acc', 11)}", "bik": f"'044525' || {digits('bik', 3)}",
+        "aba_b": f"'1' || {digits('aba', 7)}", "inn10_b": BODIES["inn10_b"],
+    }
+    birth = f"lpad(({number('day', 28)} + 1)::VARCHAR, 2, '0') || '.' || lpad(({number('month', 12)} + 1)::VARCHAR, 2, '0')" \
+            f" || '.19' || {digits('year', 2)}"
+    values = {
+        "full_b": "right(bik, 3) || acc_b || '0'", "inn10": VALUES["inn10"], "kpp": f"'7701' || {digits('kpp', 5)}",
+        "aba": f"aba_b || ((10 - {t9} % 10) % 10)", "us_acc": f"'00' || {digits('acc', 12)}",
+        "bic": pick("bic", g.BICS), "duns": " || '-' || ".join((digits("u1", 2), digits("u2", 3), digits("u3", 4))),
+        "ein": f"{digits('e1', 2)} || '-' || {digits('e2', 7)}", "dl": f"'D' || {digits('dl', 7)}",
+        "mbi": f"'1EG' || {digits('m1', 1)} || '-TE' || {digits('m2', 1)} || '-MK' || {digits('m3', 2)}", "birth": birth,
+        "rdl": f"{digits('r1', 2)} || ' ' || {digits('r2', 2)} || ' ' || {digits('r3', 6)}",
+        "aws": f"'AKIA' || upper(substr({h('aws')}, 1, 16))", "ip6": f"'2001:db8::' || substr({h('ip6')}, 1, 4)",
+        "tel": f"'+1 (' || {digits('p1', 3)} || ') ' || {digits('p2', 3)} || '-' || {digits('p3', 4)}",
+        "initials": pick("initials", g.INITIALS),
+    }
+    later = {"acc": f"acc_b || ((10 - {weighted('full_b', ((7, 1, 3) * 8)[:23], 10)} % 10) % 10)"}
+    texts = (
+        ("'р/с ' || acc || ' в банке, БИК ' || bik", (("RU_BANK_ACCOUNT", "acc", "high"), ("RU_BIK", "bik", "high"))),
+        ("'ИНН ' || inn10 || ', КПП ' || kpp", (("RU_INN", "inn10", "high"), ("RU_KPP", "kpp", "medium"))),
+        ("'routing number ' || aba || ' for the wire'", (("US_ROUTING", "aba", "high"),)),
+        ("'account number ' || us_acc || ' was opened'", (("US_BANK_ACCOUNT", "us_acc", "medium"),)),
+        ("'SWIFT ' || bic || ' confirmed'", (("SWIFT_BIC", "bic", "high"),)),
+        ("'DUNS ' || duns", (("US_DUNS", "duns", "medium"),)),
+        ("'EIN ' || ein || ' on file'", (("US_EIN", "ein", "medium"),)),
+        ("'Driver''s license ' || dl || ' issued in CA'", (("US_DRIVER_LICENSE", "dl", "medium"),)),
+        ("'Medicare ' || mbi || ' active'", (("US_MEDICARE", "mbi", "medium"),)),
+        ("'дата рождения ' || birth", (("DATE_OF_BIRTH", "birth", "high"),)),
+        ("'водительское удостоверение ' || rdl", (("RU_DRIVER_LICENSE", "rdl", "medium"),)),
+        ("'найден ключ ' || aws || ' в логах'", (("SECRET_AWS", "aws", "high"),)),
+        ("'сервер ' || ip6 || ' доступен'", (("IP_ADDRESS", "ip6", "medium"),)),
+        ("'call ' || tel || ' now'", (("PHONE", "tel", "high"),)),
+        (f"'номер ' || {digits('plain', 9)} || ' в списке'", ()),
+        ("'Подпись: ' || initials || ', расшифровка прилагается.'", (("PERSON", "initials", "high"),)),
+    )
+
+    def add(columns: dict) -> str:
+        return ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+
+    text = " ".join(f"WHEN {i} THEN {body}" for i, (body, _) in enumerate(texts))
+    labels = " ".join(
+        f"WHEN {i} THEN [" + ", ".join(
+            f"{{'type': '{t}', 'value': {v}, 'confidence': '{c}'}}" for t, v, c in found) + "]"
+        for i, (_, found) in enumerate(texts) if found)
+    return f"""
+      b0 AS (SELECT c_custkey AS id FROM customer), b1 AS (SELECT *, {add(bodies)} FROM b0),
+      b2 AS (SELECT *, {add(values)} FROM b1), b3 AS (SELECT *, {add(later)} FROM b2),
+      gen AS (SELECT id, CASE id % 16 {text} END AS text, CASE id % 16 {labels} ELSE [] END AS ls FROM b3),
+      labels AS (SELECT id, text, unnest(ls).type AS type, unnest(ls).value AS value,
+                        unnest(ls).confidence AS confidence FROM gen)"""
+
+
 def net_roll(column: str) -> str:
     return f"WITH {NET_SPANS} SELECT {column}, type, count(*) AS detections, count(DISTINCT doc_id) AS documents " \
            "FROM net GROUP BY ALL"
@@ -217,6 +274,55 @@ GROUPS = {
     "identity": ("PERSON", "EMAIL", "PHONE"), "ru": ("RU_INN", "RU_SNILS", "RU_OGRN", "RU_PASSPORT", "RU_OMS"),
     "us": ("US_SSN",), "financial": ("CARD", "IBAN"),
 }
+# Capitalised pairs; a word right after a sentence end is consumed first, as it cannot begin a pair.
+PAIRS = r"[.!?]\s[A-Z][a-z]+|\b[A-Z][a-z]+\s[A-Z][a-z]+\b"
+KEY_VALUE = r"(?i)(?:api[_-]?key|secret|token|password|passwd|pwd|пароль)\s*[:=]\s*[\"']?[A-Za-z0-9+/_\-]{8,}"
+OPAQUE = r"[A-Za-z0-9+/_-]{32,}"
+NEAR = "substr(body, greatest(start - {0}, 0) + 1, stop + {0} - greatest(start - {0}, 0))"
+STOP = ", ".join(map(quote, dict.fromkeys(NOT_NAMES)))
+PERSON_ROWS = f"""SELECT * FROM ({spans('documents', 'doc_id, source', 'text', PAIRS)})
+    WHERE NOT regexp_matches(value, '^[.!?]') AND regexp_extract(value, '^[A-Za-z]+') NOT IN ({STOP})
+      AND regexp_extract(value, '[A-Za-z]+$') NOT IN ({STOP})"""
+SECRET_ROWS = f"""SELECT doc_id, source, 'SECRET_KV' AS type, stop - length(v) AS start, stop, v AS value, 'high' AS confidence
+    FROM (SELECT *, regexp_extract(value, '[:=]\\s*["'']?([A-Za-z0-9+/_\\-]{{8,}})$', 1) AS v
+          FROM ({spans('documents', 'doc_id, source', 'text', KEY_VALUE)}))
+    UNION ALL
+    SELECT doc_id, source, 'SECRET_ENTROPY', start, stop, value, 'medium' FROM (SELECT *, value AS s
+      FROM ({spans('documents', 'doc_id, source', 'text', OPAQUE)})) o
+    WHERE (regexp_matches(s, '^[0-9a-fA-F]+$') AND {BITS} > 3.3 OR regexp_matches(s, '[a-z]')
+        AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[0-9]') AND {BITS} > 4.2)
+      AND NOT regexp_matches({NEAR.format(20)}, '(?i)commit|\\bsha|hash|хеш|md5')
+      AND NOT EXISTS (SELECT 1 FROM ({spans('documents', 'doc_id', 'text', KEY_VALUE)}) k
+                      WHERE k.doc_id = o.doc_id AND k.start < o.stop AND o.start < k.stop)"""
+
+
+def card_rows(source: str) -> str:
+    return f"""SELECT doc_id, source, 'CARD' AS type, start, stop, value,
+        CASE WHEN regexp_matches(value, '[ -]') OR regexp_matches({NEAR.format(30)}, '{CARD_CUE}') THEN 'high'
+          WHEN length(d) = 16 THEN 'medium' ELSE 'low' END AS confidence
+      FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({spans(source, 'doc_id, source', 'text', CARD)}))
+      WHERE {luhn_total('d', True)} % 10 = 0 AND length(replace(d, left(d, 1), '')) > 0"""
+
+
+def phone_rows() -> str:
+    def one(regex: str, before: str) -> str:
+        return f"""SELECT doc_id, source, start + position(v IN value) - 1 AS start, v AS value FROM (
+          SELECT *, regexp_extract(value, '({regex})', 1) AS v FROM
+            ({spans('documents', 'doc_id, source', 'text', f'(?:^|{before})' + regex + '(?:[^0-9]|$)')}))"""
+
+    return f"""SELECT DISTINCT doc_id, source, 'PHONE' AS type, start, start + length(value) AS stop, value,
+        CASE WHEN regexp_matches(value, '^\\+|[\\s()-]') THEN 'high' ELSE 'medium' END AS confidence
+      FROM ({one(PHONE_RU, '[^0-9]')} UNION ALL {one(PHONE_INTL, '[^0-9+]')})"""
+
+
+# No two kinds overlap in the test documents, so the union needs no contest between them.
+ALL_ROWS = f"""all_rows AS (
+    SELECT doc_id, source, 'EMAIL' AS type, start, stop, value, 'high' AS confidence
+      FROM ({spans('documents', 'doc_id, source', 'text', EMAIL)})
+    UNION ALL SELECT doc_id, source, 'IP_ADDRESS', start, stop, value, 'medium'
+      FROM ({spans('documents', 'doc_id, source', 'text', IPV4)})
+    UNION ALL {card_rows('documents')} UNION ALL {phone_rows()} UNION ALL {SECRET_ROWS}
+    UNION ALL SELECT doc_id, source, 'PERSON', start, stop, value, 'medium' FROM ({PERSON_ROWS}))"""
 group_case = " ".join(f"WHEN type IN ({', '.join(map(quote, ts))}) THEN '{name}'" for name, ts in GROUPS.items())
 site_case = " ".join(
     "WHEN " + " OR ".join(f"host = '{m}' OR ends_with(host, '.{m}')" for m in hosts) + f" THEN '{name}'"
@@ -247,21 +353,13 @@ ORACLES = {
                   f"({spans('documents', 'doc_id', 'text', EMAIL)})",
     "scan_ip": f"SELECT doc_id, 'IP_ADDRESS' AS type, start, stop, value FROM "
                f"({spans('documents', 'doc_id', 'text', IPV4)})",
-    "scan_card": f"""SELECT doc_id, 'CARD' AS type, start, stop, value,
-        CASE WHEN regexp_matches(value, '[ -]') OR regexp_matches(
-          substr(body, greatest(start - 30, 0) + 1, stop + 30 - greatest(start - 30, 0)), '{CARD_CUE}') THEN 'high'
-          WHEN length(d) = 16 THEN 'medium' ELSE 'low' END AS confidence
-      FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM
-            ({spans('documents', 'doc_id', 'text', CARD)}))
-      WHERE {luhn_total('d', True)} % 10 = 0 AND length(replace(d, left(d, 1), '')) > 0""",
-    "scan_phone": f"""SELECT doc_id, value, count(*) AS n FROM (
-        SELECT DISTINCT doc_id, start + position(v IN value) - 1 AS start, v AS value FROM (
-          SELECT *, regexp_extract(value, '({PHONE_RU})', 1) AS v FROM
-            ({spans('documents', 'doc_id', 'text', '(?:^|[^0-9])' + PHONE_RU + '(?:[^0-9]|$)')})
-          UNION ALL
-          SELECT *, regexp_extract(value, '({PHONE_INTL})', 1) AS v FROM
-            ({spans('documents', 'doc_id', 'text', '(?:^|[^0-9+])' + PHONE_INTL + '(?:[^0-9]|$)')})))
-      GROUP BY ALL""",
+    "scan_card": f"SELECT * EXCLUDE source FROM ({card_rows('documents')})",
+    "scan_phone": f"SELECT doc_id, value, count(*) AS n FROM ({phone_rows()}) GROUP BY ALL",
+    "scan_persons": f"SELECT doc_id, 'PERSON' AS type, start, stop, value FROM ({PERSON_ROWS})",
+    "scan_secrets": f"SELECT * EXCLUDE (source, confidence) FROM ({SECRET_ROWS})",
+    "scan_all_types": f"WITH {ALL_ROWS} SELECT * EXCLUDE source FROM all_rows",
+    "type_counts_by_source_full": f"""WITH {ALL_ROWS} SELECT source, type, count(*) AS detections,
+        count(DISTINCT doc_id) AS documents FROM all_rows WHERE confidence <> 'low' GROUP BY ALL""",
     "scan_pages": f"SELECT page_id, {TYPE} AS type, start, stop, value FROM ({spans('pages', 'page_id', 'html', NET)})",
     "scan_fullwidth": f"""WITH {WIDE} SELECT doc_id, {TYPE} AS type, start, stop,
         substr(shown, start + 1, stop - start) AS value FROM ({spans('wide', 'doc_id, shown', 'text', NET)})""",
@@ -351,6 +449,8 @@ ORACLES = {
         len(ls) AS n_expected FROM gen""",
     "generated_scan": f"""WITH {corpus()} SELECT id AS item_id, type, instr(text, value) - 1 AS start,
         instr(text, value) - 1 + length(value) AS stop, value FROM labels""",
+    "generated_business_scan": f"""WITH {business()} SELECT id AS item_id, type, instr(text, value) - 1 AS start,
+        instr(text, value) - 1 + length(value) AS stop, value, confidence FROM labels""",
     "corpus_quality": f"""WITH {corpus()}, n AS (SELECT count(*) FILTER (type <> 'PERSON') AS s,
         count(*) FILTER (type = 'PERSON') AS p FROM labels)
         SELECT s AS expected, s AS detected, s AS matched, p AS persons_expected, p AS persons_matched,

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.config import ScanConfig
+from veilframe.config import DEFAULT_TYPES, ScanConfig
 from veilframe.functions import checksums as ck
 from veilframe.functions import placeholders as ph
 from veilframe.functions import textforms as tf
@@ -287,6 +287,13 @@ def generated_scan(spark, sf):
     return found.select("item_id", "type", "start", F.col("end").alias("stop"), "value")
 
 
+def generated_business_scan(spark, sf):
+    cfg = ScanConfig((*DEFAULT_TYPES, "DATE_OF_BIRTH"))
+    texts = generate.labelled_corpus(table(spark, sf, "customer").select("c_custkey"), "c_custkey", "business")
+    return explode_detections(scan(texts, "text", cfg), ["item_id"]).select(
+        "item_id", "type", "start", F.col("end").alias("stop"), "value", "confidence")
+
+
 def generated_labels(spark, sf):
     return generated(spark, sf, "orders", "o_orderkey").select(
         "item_id", F.md5("text").alias("digest"), F.size("expected").alias("n_expected"))
@@ -414,6 +421,7 @@ QUERIES = {
     "policies_effective": policies_effective,
     "generated_labels": generated_labels,
     "generated_scan": generated_scan,
+    "generated_business_scan": generated_business_scan,
     "corpus_quality": corpus_quality,
     "silent_negatives": silent_negatives,
     "group_rollup": group_rollup,
