@@ -143,8 +143,12 @@ def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame |
     literals = keyed.select(*doc, F.explode("__literals").alias("p")).select(*doc, "p.type", "p.num")
     entries = new_entries(hits, literals, order, vault, style)
 
-    known = entries if vault is None else entries.unionByName(
-        vault.select(*entries.columns).join(hits.select("session_id").distinct(), "session_id", "left_semi"))
+    known = entries
+    if vault is not None:
+        # Only the stored entries this input needs, found by session and value so that no session is one big key.
+        wanted = hits.select("session_id", F.col("value").alias("original")).distinct()
+        known = entries.unionByName(
+            vault.select(*entries.columns).join(wanted, ["session_id", "original"], "left_semi"))
     tokens = known.select("session_id", F.col("original").alias("value"), "placeholder")
     if _sized(tokens, "session_id", "value", "placeholder", small_vault):
         maps = _session_maps(tokens, "session_id", "value", "placeholder", "__map")

@@ -60,11 +60,8 @@ def migrate_sessions(vault: DataFrame, moves: DataFrame) -> tuple[DataFrame, Dat
     session may be a source once and a target once and not both; do chains call by call, in order.
     """
     moves = stage(moves.select("from_session", "to_session").distinct())
-    ends = moves.select(F.explode(F.array(
-        F.struct(F.col("from_session").alias("s"), F.lit("from").alias("side")),
-        F.struct(F.col("to_session").alias("s"), F.lit("to").alias("side")))).alias("e")).select("e.*")
     real = moves.filter("from_session <> to_session")
-    clash = ends.join(real.select(F.explode(F.array("from_session", "to_session")).alias("s")), "s", "left_semi") \
+    clash = real.select(F.explode(F.array("from_session", "to_session")).alias("s")) \
         .groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if clash.limit(1).count():
         raise ValueError("a session may take part in one move per call")
