@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from veilframe.config import ScanConfig
 from veilframe.operators.scan import scan
-from veilframe.plans.queries import NET, QUERIES
+from veilframe.plans.queries import NET, QUERIES, table
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -27,11 +27,11 @@ def main():
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
     n_docs, n_chars = docs.selectExpr("count(*)", "sum(length(text))").first()
     sink(scan(docs.limit(50), "text"))
     timings = {}

@@ -15,7 +15,7 @@ from veilframe.operators import crypt, evaluate, generate, guard, mask, policy,
 from veilframe.operators.scan import explode_detections, scan, scan_selection, type_counts
 from veilframe.plans.staging import shared_folder, stage
 from veilframe.sources.catalog import match_site
-from veilframe.sources.files import VaultTable
+from veilframe.sources.files import VaultTable, spread
 
 CORPUS_TYPES = (
     "EMAIL", "PHONE", "CARD", "RU_SNILS", "RU_INN", "RU_OGRN", "RU_PASSPORT", "RU_OMS", "IBAN", "US_SSN", "IP_ADDRESS",
@@ -29,8 +29,13 @@ HOSTS = ("chatgpt.com", "chat.openai.com", "www.perplexity.ai", "poe.com", "mypo
          "chatgpt.com.evil.example", "notclaude.ai.example", "claude.ai", "app.giga.chat")
 
 
+KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"), "customer": ("c_custkey",),
+        "orders": ("o_orderkey",)}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, *KEYS[name]) if name in KEYS else df
 
 
 def _spans(spark, sf, cfg, confidence=False):

@@ -20,6 +20,18 @@ class VaultStorageError(RuntimeError):
     """The vault cannot be read or written; masking without it could not be undone."""
 
 
+# Inputs below this size per core are worth one shuffle to use all cores; larger ones come in enough splits.
+SPREAD_BYTES_PER_CORE = 64 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a small input out over all cores, by hash of ``keys``. A text scan is bound by CPU, and a small file is
+    one task however many cores wait. Inputs of real size are left as their files split them: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A table of texts; ``fmt`` is any Spark source (parquet, json, csv, orc, text)."""
     df = spark.read.format(fmt).options(**options).load(path)
