@@ -106,6 +106,7 @@ class Views:
     plain: Column
     folded: Column
     ascii: Column
+    cyrillic: Column
     lower: Column
     dense: Column
     runs: Column
@@ -134,8 +135,8 @@ class Rule:
     ``pattern`` is searched in the ``folded`` or the plain view; without it the rule takes the isolated digit runs
     of the given ``lengths``. ``check`` sees a :class:`Hit` and keeps or drops it. ``cue``/``reach`` name words
     required within that many characters. ``confidence`` is a level or a function from hit to rank column.
-    ``tail`` says that the pattern is two groups and the span is the second. ``hint`` is a cheap necessary pattern;
-    ``words`` are lower-case substrings, one of which the lower-cased plain text must hold. ``ord`` orders rules with
+    ``tail`` says that the pattern is two groups and the span is the second. ``hint`` is a cheap necessary pattern
+    (or test of the text); ``if_folded`` runs the rule only on texts that folding changes; ``words`` are lower-case substrings, one of which the lower-cased plain text must hold. ``ord`` orders rules with
     equal spans.
     """
 
@@ -150,7 +151,8 @@ class Rule:
     validator: str | Callable[[Column], Column] = "format"
     priority: int | Callable[[Column], Column] = 0
     tail: bool = False
-    hint: str | None = None
+    hint: str | Callable[[Column], Column] | None = None
+    if_folded: bool = False
     words: tuple[str, ...] = ()
     needs_digits: bool = True
     ord: int = 0
@@ -247,14 +249,18 @@ def _gate(rule: Rule, views: Views) -> Column | None:
     """Cheap condition a text must meet for the rule to find anything in it."""
     text = views.folded if rule.folded else views.plain
     parts = []
+    if rule.if_folded:
+        parts.append(views.cyrillic)
     if rule.needs_digits or rule.lengths:
         parts.append(views.dense)
     if rule.words:
         if not any(w.isascii() for w in rule.words):
             parts.append(~views.ascii)
         parts.append(reduce(or_, [F.contains(views.lower, F.lit(w)) for w in rule.words]))
-    if rule.hint:
-        parts.append(text.rlike(rule.hint))
+    if callable(rule.hint):
+        parts.append(rule.hint(text))
+    elif rule.hint:
+        parts.append(F.contains(text, F.lit(rule.hint)) if rule.hint.isalnum() else text.rlike(rule.hint))
     return reduce(and_, parts) if parts else None
 
 

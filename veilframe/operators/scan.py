@@ -56,7 +56,7 @@ def active_rules(cfg: ScanConfig) -> list[Rule]:
 def _rule_columns(cfg: ScanConfig, app_id: str) -> dict[str, Column]:
     """Expressions of the rule stages. They name temporary columns only, so one application builds them once."""
     rules = active_rules(cfg)
-    views = Views(_t("plain"), _t("folded"), _t("ascii"), _t("lower"), _t("dense"), _t("runs"))
+    views = Views(_t("plain"), _t("folded"), _t("ascii"), _t("cyrillic"), _t("lower"), _t("dense"), _t("runs"))
     cut = [pieces(rule, views) for rule in rules]
     found = [candidates(rules, views, _t("hits"))] if rules else [no_candidates()]
     if wants_ru_words(cfg):
@@ -89,9 +89,9 @@ def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, o
         TEMP + "plain": F.coalesce(_t("form")["text"], _t("flat")),
         TEMP + "shifts": _t("form")["shifts"].cast(SHIFT_TYPE),
     })
+    work = work.withColumn(TEMP + "cyrillic", ~_t("ascii") & _t("plain").rlike(CYRILLIC))
     work = work.withColumns({
-        TEMP + "folded": F.when(
-            ~_t("ascii") & _t("plain").rlike(CYRILLIC), fold_lookalikes(_t("plain"), "en")).otherwise(_t("plain")),
+        TEMP + "folded": F.when(_t("cyrillic"), fold_lookalikes(_t("plain"), "en")).otherwise(_t("plain")),
         TEMP + "lower": F.lower(_t("plain")),
         TEMP + "dense": _t("plain").rlike(DENSE_DIGITS),
     })
