@@ -20,7 +20,7 @@ REPLACEMENT = "\ufffd"
 SPAN_TYPE = "array<struct<start:int,end:int,match:string>>"
 
 # Arrays longer than this are scanned in blocks, so a running total stays close to linear.
-BLOCK = 256
+BLOCK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -15,7 +15,7 @@ from veilframe.functions.placeholders import (
     parse_placeholder,
     strip_instruction,
 )
-from veilframe.functions.spans import rewrite
+from veilframe.functions.spans import let, rewrite
 from veilframe.plans.staging import (
     BROADCAST_BYTES,
     BROADCAST_PER_SESSION,
@@ -159,8 +159,8 @@ def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame |
         per_doc = found.groupBy(*doc).agg(
             F.array_sort(F.collect_list(F.struct("__i", "placeholder"))).alias("__pairs"))
         rows = keyed.join(per_doc, doc).withColumn("__new", F.transform("__pairs", lambda p: p["placeholder"]))
-    masked = rows.withColumn(out, rewrite(
-        F.col(text_col), F.col(detections), lambda d, i: F.coalesce(F.get("__new", i), d["value"])))
+    masked = rows.withColumn(out, let(F.col("__new"), lambda new: rewrite(
+        F.col(text_col), F.col(detections), lambda d, i: F.coalesce(F.get(new, i), d["value"]))))
     kept = [*columns, out]
     return Masked(masked.select(*kept).unionByName(clean.withColumn(out, F.col(text_col)).select(*kept)), entries)
 
@@ -195,7 +195,8 @@ def restore(df: DataFrame, vault: DataFrame, session: str, key: list[str], text_
     unknown = F.filter(
         F.zip_with("__tokens", "__old", lambda s, o: F.when(o.isNull(), s["match"])), lambda t: t.isNotNull())
     restored = rows.withColumns({
-        out: rewrite(F.col("__text"), F.col("__tokens"), lambda s, i: F.coalesce(F.get("__old", i), s["match"])),
+        out: let(F.col("__old"), lambda old: rewrite(
+            F.col("__text"), F.col("__tokens"), lambda s, i: F.coalesce(F.get(old, i), s["match"]))),
         missing: F.array_distinct(F.reverse(unknown)),
     })
     kept = [*columns, out, missing]

@@ -50,9 +50,10 @@ def _settle(cluster: Column) -> Column:
 
 def cluster_heads(ordered: Column, reach: Column) -> Column:
     """One-based positions where a cluster of touching spans begins; ``reach`` is the running maximum of the ends."""
-    return F.filter(
+    # Bound once: the optimizer may put a column's expression where it is used, here inside the filter's function.
+    return let(reach, lambda r: F.filter(
         F.sequence(F.lit(1), F.size(ordered)),
-        lambda i: (i == 1) | (F.get(ordered, i - 1)["start"] >= F.get(reach, i - 2)))
+        lambda i: (i == 1) | (F.get(ordered, i - 1)["start"] >= F.get(r, i - 2))))
 
 
 def resolve(ordered: Column, heads: Column) -> Column:

@@ -111,7 +111,8 @@ def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, o
         stage[TEMP + "words"] = F.get(_t("placed"), F.lit(len(rules)))
     work = work.withColumns(stage)
     work = work.withColumn(TEMP + "found", parts["found"])
-    work = work.withColumn(TEMP + "ordered", F.array_sort(F.array_distinct(to_source(_t("found"), _t("shifts")))))
+    # A hit found twice (two phone patterns, two secret views) is settled like any overlap: the first one stays.
+    work = work.withColumn(TEMP + "ordered", F.array_sort(to_source(_t("found"), _t("shifts"))))
     work = work.withColumn(TEMP + "reach", running_max(F.transform(_t("ordered"), lambda c: c["end"])))
     work = work.withColumn(TEMP + "heads", F.when(
         F.size(_t("ordered")) > 1, cluster_heads(_t("ordered"), _t("reach"))))
