@@ -118,3 +118,20 @@ def test_placeholders_and_instruction(spark):
     assert r[0] == r[1] != text and r[2] == text and r[3] == text
     with pytest.raises(ValueError):
         ph.format_placeholder(F.lit("A"), F.lit(1), "round")
+
+
+def test_reading_out_of_long_texts(spark):
+    text = "".join(chr(0x430 + i % 32) for i in range(70_000))
+    starts = [0, 1, 4095, 4096, 4097, 8191, 30_000, 69_990]
+    spans = [(s, s + 10) for s in starts] + [(s, s + 1) for s in range(40_000, 40_200, 2)] + [(50_000, 60_000)]
+    df = spark.createDataFrame([(text, sorted(spans))], "t string, s array<struct<start:int,end:int>>")
+    df = df.withColumn("c", sp.chunked(F.col("t"), F.col("s")))
+    r = df.select("s", F.transform("s", lambda x: sp.read_out(
+        F.col("t"), F.col("c"), x["start"], x["end"] - x["start"])).alias("v"), F.col("c.size").alias("size")).first()
+    assert r.size == 4096 and r.v == [text[x.start:x.end] for x in r.s]
+    disjoint = [(s, s + 5) for s in range(0, 69_000, 500)]
+    df = spark.createDataFrame([(text, disjoint)], "t string, s array<struct<start:int,end:int>>")
+    want, last = "", 0
+    for s, e in disjoint:
+        want, last = want + text[last:s] + "#", e
+    assert df.select(sp.rewrite(F.col("t"), F.col("s"), lambda x, i: F.lit("#"))).first()[0] == want + text[last:]

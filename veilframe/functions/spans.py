@@ -108,23 +108,54 @@ def _after_open(piece: Column) -> Column:
     return F.substring_index(piece, OPEN, -1)
 
 
-def around(text: Column, start: Column, end: Column, radius: int) -> Column:
+# Texts longer than this with many spans are cut into overlapping chunks before spans are read out of them.
+LONG_TEXT = 16_384
+MANY_SPANS = 64
+CHUNK_TYPE = "struct<size:int,parts:array<string>>"
+
+
+def chunked(text: Column, spans: Column) -> Column:
+    """``STRUCT<size, parts>`` of a long text with many spans, else NULL. Part ``i`` is the ``2 * size`` characters
+    from ``i * size``: reading a span then costs a part's length and not its distance from the text's start."""
+    def build(n: Column) -> Column:
+        size = F.greatest(F.lit(4096), F.ceil(n / 256).cast("int"))
+        return F.struct(size.alias("size"), F.transform(
+            F.sequence(F.lit(0), F.floor(n / size).cast("int")),
+            lambda b: F.substring(text, b * size + 1, size * 2)).alias("parts"))
+
+    return F.when((F.size(spans) > MANY_SPANS) & (F.length(text) > LONG_TEXT), let(F.length(text), build))
+
+
+def read_out(text: Column, chunks: Column | None, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` on."""
+    plain = F.substring(text, start + 1, length)
+    if chunks is None:
+        return plain
+    return F.when(
+        length <= chunks["size"],
+        F.substring(F.get(chunks["parts"], F.floor(start / chunks["size"]).cast("int")),
+                    start % chunks["size"] + 1, length)).otherwise(plain)
+
+
+def around(text: Column, start: Column, end: Column, radius: int, chunks: Column | None = None) -> Column:
     """The text within ``radius`` characters of a span, cut at the text's ends."""
     left = F.greatest(start - radius, F.lit(0))
-    return F.substring(text, left + 1, end + radius - left)
+    return read_out(text, chunks, left, end + radius - left)
 
 
 def rewrite(text: Column, spans: Column, replacement: Callable[[Column, Column], Column],
             gap: Callable[[Column], Column] = lambda piece: piece) -> Column:
     """Replace sorted, disjoint spans of a text; ``replacement(span, index)`` gives the new piece."""
 
-    def build(s: Column) -> Column:
+    def build(s: Column, chunks: Column) -> Column:
         def piece(span: Column, i: Column) -> Column:
             prev = F.when(i > 0, F.element_at(s, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
-            return F.concat(gap(F.substring(text, prev + 1, span["start"] - prev)), replacement(span, i))
+            return F.concat(gap(read_out(text, chunks, prev, span["start"] - prev)), replacement(span, i))
 
         last = F.element_at(s, -1)["end"]
         tail = gap(F.substring(text, last + 1, F.length(text)))
         return F.concat(F.array_join(F.transform(s, piece), ""), tail)
 
-    return F.when(F.size(spans) > 0, let(spans, build)).otherwise(gap(text))
+    return F.when(
+        F.size(spans) > 0, let(spans, lambda s: let(chunked(text, s), lambda chunks: build(s, chunks))),
+    ).otherwise(gap(text))

@@ -110,6 +110,7 @@ class Views:
     lower: Column
     dense: Column
     runs: Column
+    chunks: Column
 
 
 @dataclass(frozen=True)
@@ -120,9 +121,10 @@ class Hit:
     start: Column
     end: Column
     match: Column
+    chunks: Column | None = None
 
     def near(self, radius: int) -> Column:
-        return around(self.text, self.start, self.end, radius)
+        return around(self.text, self.start, self.end, radius, self.chunks)
 
     def cued(self, words: str, radius: int) -> Column:
         return self.near(radius).rlike(any_case(words))
@@ -305,7 +307,8 @@ def candidates(rules: list[Rule], views: Views, hits: Column) -> Column:
     def grade(h: Column) -> Column:
         def branch(i: int, rule: Rule):
             text = views.folded if rule.folded else views.plain
-            return i, _graded(rule, Hit(text, h["start"], h["end"], h["match"]))
+            chunks = None if rule.folded else views.chunks
+            return i, _graded(rule, Hit(text, h["start"], h["end"], h["match"], chunks))
 
         return F.struct(h["rule"].alias("rule"), h["start"].alias("start"), h["end"].alias("end"), _case(
             h["rule"], [branch(i, r) for i, r in enumerate(rules)]).cast("int").alias("rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import let
+from veilframe.functions.spans import chunked, let, read_out
 from veilframe.functions.textforms import source_offset
 from veilframe.operators.detectors import CANDIDATE_TYPE
 
@@ -65,7 +65,7 @@ def resolve(ordered: Column, heads: Column) -> Column:
 
 def to_detections(resolved: Column, text: Column) -> Column:
     levels = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
-    return F.transform(resolved, lambda c: F.struct(
+    return let(chunked(text, resolved), lambda chunks: F.transform(resolved, lambda c: F.struct(
         c["type"].alias("type"), c["start"].alias("start"), c["end"].alias("end"),
-        F.substring(text, c["start"] + 1, c["end"] - c["start"]).alias("value"),
-        F.element_at(levels, c["rank"]).alias("confidence"), c["validator"].alias("validator")))
+        read_out(text, chunks, c["start"], c["end"] - c["start"]).alias("value"),
+        F.element_at(levels, c["rank"]).alias("confidence"), c["validator"].alias("validator"))))

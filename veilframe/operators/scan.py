@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.config import ScanConfig
-from veilframe.functions.spans import bracket, no_pieces, place, running_max
+from veilframe.functions.spans import bracket, chunked, no_pieces, place, running_max
 from veilframe.functions.textforms import (
     CYRILLIC,
     SHIFT_TYPE,
@@ -56,7 +56,8 @@ def active_rules(cfg: ScanConfig) -> list[Rule]:
 def _rule_columns(cfg: ScanConfig, app_id: str) -> dict[str, Column]:
     """Expressions of the rule stages. They name temporary columns only, so one application builds them once."""
     rules = active_rules(cfg)
-    views = Views(_t("plain"), _t("folded"), _t("ascii"), _t("cyrillic"), _t("lower"), _t("dense"), _t("runs"))
+    views = Views(_t("plain"), _t("folded"), _t("ascii"), _t("cyrillic"), _t("lower"), _t("dense"), _t("runs"),
+                  _t("chunks"))
     cut = [pieces(rule, views) for rule in rules]
     found = [candidates(rules, views, _t("hits"))] if rules else [no_candidates()]
     if wants_ru_words(cfg):
@@ -110,6 +111,7 @@ def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, o
     if ru:
         stage[TEMP + "words"] = F.get(_t("placed"), F.lit(len(rules)))
     work = work.withColumns(stage)
+    work = work.withColumn(TEMP + "chunks", chunked(_t("plain"), _t("hits")))
     work = work.withColumn(TEMP + "found", parts["found"])
     # A hit found twice (two phone patterns, two secret views) is settled like any overlap: the first one stays.
     work = work.withColumn(TEMP + "ordered", F.array_sort(to_source(_t("found"), _t("shifts"))))
