@@ -180,7 +180,7 @@ def test_encrypted_snapshot(spark, tmp_path):
     store.save(crypt.encrypt_vault(vault, "right-pass"))
     assert store.exists()
     shown = str(store.read().select("salt", "payload").collect())
-    assert "PERSON" not in shown and "v1" not in shown
+    assert "PERSON" not in shown and "original" not in shown
     opened = crypt.decrypt_vault(store.read(), "right-pass")
     assert sorted(opened.collect()) == sorted(vault.collect()) and crypt.session_count(opened) == 3
     with pytest.raises(crypt.WrongPassphrase):
