@@ -14,7 +14,7 @@ import pyarrow as pa
 
 GRAM_BASE = 0x9E3779B97F4A7C15
 RUN_BASE = 0xD6E8FEB86659FD93
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _IS_SPACE = np.zeros(256, bool)

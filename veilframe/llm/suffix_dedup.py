@@ -15,7 +15,7 @@ from veilframe.llm.repeats import BYTES, without_repeats
 from veilframe.llm.substring_dedup import extended
 from veilframe.llm.suffix_groups import suffix_arrays
 
-BATCH_SYMBOLS = 400_000
+BATCH_SYMBOLS = 200_000
 # An anchor whose stretches are longer in sum is solved by window hashes; its suffix array would hold up the others.
 ARRAY_SYMBOLS = 16_384
 
