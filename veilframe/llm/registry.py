@@ -1,10 +1,14 @@
 """Registered queries of the corpus operators and their SQL twins."""
 
-from veilframe.llm import substring_dedup, suffix_dedup
+from veilframe.llm import bpe, decontam, ngram_join, substring_dedup, suffix_dedup, toxicity
 from veilframe.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_bpe": bpe.query,
+    "op4_toxicity": toxicity.query,
+    "op5_decontam": decontam.query,
+    "op8_ngram_join": ngram_join.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 __all__ = ["ORACLES", "QUERIES"]
