@@ -36,9 +36,22 @@ _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
+def _lower_utf8(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII, Latin-1 and Cyrillic letters, byte by byte; each keeps its length."""
+    out = R.lower(data)
+    lead = np.append(np.uint8(0), data[:-1])
+    latin = (lead == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    first = (lead == 0xD0) & (data >= 0x90) & (data <= 0x9F)
+    second = (lead == 0xD0) & (data >= 0xA0) & (data <= 0xAF)
+    out[latin | first] += 0x20
+    out[second] -= 0x20
+    out[np.flatnonzero(second) - 1] = 0xD1
+    return out
+
+
 def plain_words(data: np.ndarray, offsets: np.ndarray):
     """Letters and digits in runs, lower-cased: starts, ends and hashes. Any other ASCII character parts words."""
-    data = np.where(_LETTER[data], R.lower(data), np.uint8(0x20))
+    data = np.where(_LETTER[data], _lower_utf8(data), np.uint8(0x20))
     starts, ends = R.words(data, offsets)
     return starts, ends, R.word_codes(data, starts, ends)
 
