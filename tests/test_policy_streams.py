@@ -12,9 +12,8 @@ NET = config.ScanConfig(("EMAIL", "IP_ADDRESS"))
 
 
 def test_sites(spark):
-    hosts = {"chatgpt.com": "chatgpt", "chat.openai.com": "chatgpt", "claude.ai": "claude", "poe.com": "poe",
-             "www.perplexity.ai": "perplexity", "mypoe.company.com": None, "chatgpt.com.evil.example": None,
-             "notclaude.ai.example": None, None: None}
+    hosts = {"giga.chat": "gigachat", "eu.chat.deepseek.com": "deepseek", "claude.ai": "claude", "grok.com": "grok",
+             "notgrok.com": None, "grok.company.test": None, "claude.ai.mirror.test": None, "": None, None: None}
     df = catalog.match_site(spark.createDataFrame([(h,) for h in hosts], "host string"))
     assert {r.host: r.site for r in df.collect()} == hosts
     assert catalog.sites(spark).count() == 9
@@ -30,15 +29,15 @@ def test_catalogue_and_groups(spark):
 
 
 def test_policies(spark):
-    raw = {"enabledTypes": ["EMAIL", "BOGUS", 123], "minConfidence": "ultra", "language": "ru", "guardEnabled": "yes",
-           "instructionEnabled": False, "guardDisabledSites": ["poe", 5], "placeholderStyle": "square", "evil": "x"}
-    rows = [("a", json.dumps(raw)), ("b", "null"), ("c", '"nope"'), ("d", "42"), ("e", "{bad"), ("f", None),
+    raw = {"enabledTypes": ["IBAN", None, "PLANET"], "minConfidence": "extreme", "language": "en", "guardEnabled": 1,
+           "instructionEnabled": False, "guardDisabledSites": [True, "grok"], "placeholderStyle": "guillemet", "colour": "red"}
+    rows = [("a", json.dumps(raw)), ("b", "null"), ("c", '"text"'), ("d", "[7]"), ("e", "{half"), ("f", None),
             ("g", '{"guardEnabled": false, "enabledTypes": []}')]
     df = policy.sanitize_policies(spark.createDataFrame(rows, "tenant string, policy_json string"))
     got = {r.tenant: r for r in df.collect()}
     a = got["a"]
-    assert (a.enabled_types, a.min_confidence, a.language, a.guard_enabled) == (["EMAIL"], None, "ru", None)
-    assert (a.instruction_enabled, a.guard_disabled_sites, a.placeholder_style) == (False, ["poe"], "square")
+    assert (a.enabled_types, a.min_confidence, a.language, a.guard_enabled) == (["IBAN"], None, "en", None)
+    assert (a.instruction_enabled, a.guard_disabled_sites, a.placeholder_style) == (False, ["grok"], "guillemet")
     names = [name for _, name, _, _ in policy.FIELDS]
     for t in "bcdef":
         assert all(got[t][n] is None for n in names)
@@ -48,7 +47,7 @@ def test_policies(spark):
     again = policy.sanitize_policies(policy.policies_to_json(policy.with_defaults(df)).select("tenant", "policy_json"))
     assert sorted(again.drop("policy_json").collect()) == sorted(policy.with_defaults(df).drop("policy_json").collect())
     merged = policy.merge(policy.with_defaults(df), df.filter("tenant = 'a'").withColumn("tenant", F.lit("b")), "tenant")
-    assert merged.filter("tenant = 'b'").first().language == "ru"
+    assert merged.filter("tenant = 'b'").first().language == "en"
 
 
 def test_guard(spark):

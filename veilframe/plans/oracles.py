@@ -102,13 +102,13 @@ def jwt_part(salt: str, n: int) -> str:
 
 
 BODIES = {
-    "inn10_b": f"'77' || {digits('inn', 7)}",
-    "inn12_b": f"'77' || {digits('inn', 8)}",
+    "inn10_b": f"'52' || {digits('inn', 7)}",
+    "inn12_b": f"'52' || {digits('inn', 8)}",
     "snils_b": f"'1' || {digits('snils', 8)}",
-    "ogrn13_b": f"'1' || ({number('ogrny', 16)} + 10) || '77' || {digits('ogrn', 7)}",
-    "ogrn15_b": f"'3' || ({number('ogrny', 16)} + 10) || '77' || {digits('ogrn', 9)}",
+    "ogrn13_b": f"'1' || ({number('ogrny', 16)} + 10) || '52' || {digits('ogrn', 7)}",
+    "ogrn15_b": f"'3' || ({number('ogrny', 16)} + 10) || '52' || {digits('ogrn', 9)}",
     "card_b": f"{pick('cardp', g.CARD_PREFIXES)} || {digits('card', 11)}",
-    "oms_b": f"'78' || {digits('oms', 13)}",
+    "oms_b": f"'52' || {digits('oms', 13)}",
     "de_b": digits("iban", 18),
     "gb_b": digits("iban", 14),
     "tel": digits("tel", 9),
@@ -125,18 +125,17 @@ VALUES = {
     "card": f"card_b || ((10 - {luhn_total('card_b', False)} % 10) % 10)",
     "oms": f"oms_b || ((10 - {luhn_total('oms_b', False)} % 10) % 10)",
     "iban_de": "'DE' || lpad((98 - (de_b || '131400')::HUGEINT % 97)::VARCHAR, 2, '0') || de_b",
-    "iban_gb": "'GB' || lpad((98 - ('29142829' || gb_b || '161100')::HUGEINT % 97)::VARCHAR, 2, '0') || 'TEST' || gb_b",
+    "iban_gb": "'GB' || lpad((98 - ('17102114' || gb_b || '161100')::HUGEINT % 97)::VARCHAR, 2, '0') || 'HALE' || gb_b",
     "phone": f"""([
-        '+7 (9' || substr(tel, 1, 2) || ') ' || substr(tel, 3, 3) || '-' || substr(tel, 6, 2) || '-' || substr(tel, 8, 2),
-        '8 9' || substr(tel, 1, 2) || ' ' || substr(tel, 3, 3) || ' ' || substr(tel, 6, 2) || ' ' || substr(tel, 8, 2),
-        '8-9' || substr(tel, 1, 2) || '-' || substr(tel, 3, 3) || '-' || substr(tel, 6, 2) || '-' || substr(tel, 8, 2),
-        '+79' || tel, '89' || tel,
-        '8 (812) ' || substr(tel, 3, 3) || '-' || substr(tel, 6, 2) || '-' || substr(tel, 8, 2)
-      ])[{number('telf', 6)} + 1]""",
+        '+79' || tel,
+        '8 (9' || substr(tel, 1, 2) || ') ' || substr(tel, 3, 3) || ' ' || substr(tel, 6, 2) || ' ' || substr(tel, 8, 2),
+        '+7 9' || substr(tel, 1, 2) || ' ' || substr(tel, 3, 3) || '-' || substr(tel, 6, 2) || '-' || substr(tel, 8, 2),
+        '8 (831) ' || substr(tel, 3, 3) || '-' || substr(tel, 6, 2) || '-' || substr(tel, 8, 2)
+      ])[{number('telf', 4)} + 1]""",
     "ssn": f"lpad(({number('ssna', 665)} + 1)::VARCHAR, 3, '0') || '-' || lpad(({number('ssng', 99)} + 1)::VARCHAR, 2, '0')"
            f" || '-' || lpad(({number('ssns', 9999)} + 1)::VARCHAR, 4, '0')",
-    "ip": f"CASE WHEN {number('ip', 3)} = 0 THEN '10.' || {number('ipa', 254)} || '.' || {number('ipb', 254)} || '.' || "
-          f"{number('ipc', 254)} ELSE '192.168.' || {number('ipa', 254)} || '.' || {number('ipb', 254)} END",
+    "ip": f"CASE WHEN {number('ip', 2)} = 0 THEN '172.20.' || {number('ipa', 254)} || '.' || {number('ipb', 254)} ELSE '203.' "
+          f"|| {number('ipa', 254)} || '.' || {number('ipb', 254)} || '.' || {number('ipc', 254)} END",
     "mail": f"{pick('mailn', g.MAIL_NAMES)} || '.' || {pick('mails', g.MAIL_SURNAMES)} || ({number('mail', 90)} + 10)"
             f" || '@' || {pick('mailh', g.MAIL_HOSTS)}",
     "fio": pick("fio", g.FULL_NAMES),
@@ -146,7 +145,7 @@ VALUES = {
     "passport": f"{digits('series', 4)} || ' ' || {digits('passport', 6)}",
     "key40": opaque("key", 40),
     "key24": opaque("key", 24),
-    "jwt": f"'eyJ' || {jwt_part('jwth', 17)} || '.eyJ' || {jwt_part('jwtp', 29)} || '.' || {jwt_part('jwts', 32)}",
+    "jwt": f"'eyJ' || {jwt_part('jwth', 21)} || '.eyJ' || {jwt_part('jwtp', 38)} || '.' || {jwt_part('jwts', 40)}",
     "hexes": "[" + ", ".join(h(f"hex{i}") for i in range(8)) + "]",
 }
 BITS = """list_sum(list_transform(list_distinct(str_split(s, '')), lambda c:
@@ -160,32 +159,32 @@ LATER = {
 }
 LAST = {"bad_inn": "left(inn12, 11) || ((right(inn12, 1)::INT + 5) % 10)"}
 TEMPLATES = (
-    ("'Договор. Исполнитель: ' || fio || ', ИНН ' || inn12 || ', СНИЛС ' || snils || '.'",
+    ("'Смету составил(а) ' || fio || ', ИНН ' || inn12 || ', СНИЛС ' || snils || '.'",
      (("PERSON", "fio"), ("RU_INN", "inn12"), ("RU_SNILS", "snils"))),
-    ("'Доверенность выдана ' || fio_to || ', паспорт ' || passport || ', зарегистрированному по месту жительства.'",
+    ("'Пропуск оформлен на имя ' || fio_to || ', паспорт ' || passport || ', срок действия один год.'",
      (("PERSON", "fio_to"), ("RU_PASSPORT", "passport"))),
-    ("'Контактное лицо: ' || pair || ', тел. ' || phone || ', почта ' || mail || '.'",
+    ("'По вопросам доставки отвечает ' || pair || ', тел. ' || phone || ', почта ' || mail || '.'",
      (("PERSON", "pair"), ("PHONE", "phone"), ("EMAIL", "mail"))),
-    ("'Employee record: ' || titled || ', SSN ' || ssn || ', department QA.'",
+    ("'The library card belongs to ' || titled || ', SSN ' || ssn || ', renewed in spring.'",
      (("PERSON", "titled"), ("US_SSN", "ssn"))),
-    ("'Медкарта пациента: полис ОМС ' || oms || ', СНИЛС ' || snils || ', направлен на обследование.'",
+    ("'В регистратуре записан полис ОМС ' || oms || ', СНИЛС ' || snils || ', приём во вторник.'",
      (("RU_OMS", "oms"), ("RU_SNILS", "snils"))),
-    ("'ООО «Пример»: ОГРН ' || ogrn13 || ', ИНН ' || inn10 || ', юридический адрес уточняется.'",
+    ("'Поставщик бумаги, ОГРН ' || ogrn13 || ', ИНН ' || inn10 || ', работает с понедельника.'",
      (("RU_OGRN", "ogrn13"), ("RU_INN", "inn10"))),
-    ("'ИП зарегистрирован: ОГРНИП ' || ogrn15 || ', ИНН ' || inn12 || '.'",
+    ("'Мастерская по ремонту часов: ОГРНИП ' || ogrn15 || ', ИНН ' || inn12 || '.'",
      (("RU_OGRN", "ogrn15"), ("RU_INN", "inn12"))),
-    ("'Оплата: карта ' || card4 || ', либо перевод на счет IBAN ' || iban_de || '.'",
+    ("'За билеты рассчитались: карта ' || card4 || ', остаток ушёл на IBAN ' || iban_de || '.'",
      (("CARD", "card4"), ("IBAN", "iban_de"))),
-    ("'Спишите средства с карты ' || card || ' по договору оферты.'", (("CARD", "card"),)),
-    ("'Перевод на IBAN ' || iban_gb || ' получен.'", (("IBAN", "iban_gb"),)),
-    ("'Логи доступа: пользователь ' || mail || ' входил с адреса ' || ip || '.'",
+    ("'Абонемент продлён, карта ' || card || ' привязана к кабинету.'", (("CARD", "card"),)),
+    ("'Стипендия поступит на IBAN ' || iban_gb || ' в среду.'", (("IBAN", "iban_gb"),)),
+    ("'Рассылку открыл адресат ' || mail || ' через узел ' || ip || '.'",
      (("EMAIL", "mail"), ("IP_ADDRESS", "ip"))),
-    ("""'Конфигурация: api_key="' || key40 || '", хост ' || ip || '.'""", (("SECRET_KV", "key40"), ("IP_ADDRESS", "ip"))),
-    ("'В логах найден токен ' || jwt || ', а также запись token=' || key24 || ' — ротируйте немедленно.'",
+    ("""'В настройках робота стоит api_key="' || key40 || '", шлюз ' || ip || '.'""", (("SECRET_KV", "key40"), ("IP_ADDRESS", "ip"))),
+    ("'Отладочный вывод содержит токен ' || jwt || ', ниже строка token=' || key24 || ' и время запуска.'",
      (("SECRET_JWT", "jwt"), ("SECRET_KV", "key24"))),
-    ("'Ключ шифрования ' || hex || ' попал в переписку.'", (("SECRET_ENTROPY", "hex"),)),
-    ("'ИНН ' || bad_inn || ' не найден в реестре ФНС.'", ()),
-    ("'СНИЛС указан с ошибкой: ' || bad_snils || ' — проверьте контрольное число.'", ()),
+    ("'Резервная копия подписана строкой ' || hex || ' и убрана в архив.'", (("SECRET_ENTROPY", "hex"),)),
+    ("'ИНН ' || bad_inn || ' набран с опечаткой.'", ()),
+    ("'В анкете неверный СНИЛС ' || bad_snils || ', её вернули на доработку.'", ()),
 )
 
 
@@ -211,13 +210,13 @@ def business() -> str:
     """CTE ``labels(id, text, type, value, confidence)`` of the business texts."""
     t9 = f"(1 * 3 + {weighted('aba_b', (0, 7, 1, 3, 7, 1, 3, 7))})"
     bodies = {
-        "acc_b": f"'40702810' || {digits('acc', 11)}", "bik": f"'044525' || {digits('bik', 3)}",
+        "acc_b": f"'40703810' || {digits('acc', 11)}", "bik": f"'042202' || {digits('bik', 3)}",
         "aba_b": f"'1' || {digits('aba', 7)}", "inn10_b": BODIES["inn10_b"],
     }
     birth = f"lpad(({number('day', 28)} + 1)::VARCHAR, 2, '0') || '.' || lpad(({number('month', 12)} + 1)::VARCHAR, 2, '0')" \
             f" || '.19' || {digits('year', 2)}"
     values = {
-        "full_b": "right(bik, 3) || acc_b || '0'", "inn10": VALUES["inn10"], "kpp": f"'7701' || {digits('kpp', 5)}",
+        "full_b": "right(bik, 3) || acc_b || '0'", "inn10": VALUES["inn10"], "kpp": f"'5203' || {digits('kpp', 5)}",
         "aba": f"aba_b || ((10 - {t9} % 10) % 10)", "us_acc": f"'00' || {digits('acc', 12)}",
         "bic": pick("bic", g.BICS), "duns": " || '-' || ".join((digits("u1", 2), digits("u2", 3), digits("u3", 4))),
         "ein": f"{digits('e1', 2)} || '-' || {digits('e2', 7)}", "dl": f"'D' || {digits('dl', 7)}",
@@ -229,22 +228,22 @@ def business() -> str:
     }
     later = {"acc": f"acc_b || ((10 - {weighted('full_b', ((7, 1, 3) * 8)[:23], 10)} % 10) % 10)"}
     texts = (
-        ("'р/с ' || acc || ' в банке, БИК ' || bik", (("RU_BANK_ACCOUNT", "acc", "high"), ("RU_BIK", "bik", "high"))),
+        ("'р/с ' || acc || ' для взносов, БИК ' || bik", (("RU_BANK_ACCOUNT", "acc", "high"), ("RU_BIK", "bik", "high"))),
         ("'ИНН ' || inn10 || ', КПП ' || kpp", (("RU_INN", "inn10", "high"), ("RU_KPP", "kpp", "medium"))),
-        ("'routing number ' || aba || ' for the wire'", (("US_ROUTING", "aba", "high"),)),
-        ("'account number ' || us_acc || ' was opened'", (("US_BANK_ACCOUNT", "us_acc", "medium"),)),
-        ("'SWIFT ' || bic || ' confirmed'", (("SWIFT_BIC", "bic", "high"),)),
+        ("'routing number ' || aba || ' was printed on the cheque'", (("US_ROUTING", "aba", "high"),)),
+        ("'account number ' || us_acc || ' is closed since May'", (("US_BANK_ACCOUNT", "us_acc", "medium"),)),
+        ("'SWIFT ' || bic || ' of the branch'", (("SWIFT_BIC", "bic", "high"),)),
         ("'DUNS ' || duns", (("US_DUNS", "duns", "medium"),)),
-        ("'EIN ' || ein || ' on file'", (("US_EIN", "ein", "medium"),)),
-        ("'Driver''s license ' || dl || ' issued in CA'", (("US_DRIVER_LICENSE", "dl", "medium"),)),
-        ("'Medicare ' || mbi || ' active'", (("US_MEDICARE", "mbi", "medium"),)),
+        ("'EIN ' || ein || ' stands on the invoice'", (("US_EIN", "ein", "medium"),)),
+        ("'Driver''s license ' || dl || ' expires next year'", (("US_DRIVER_LICENSE", "dl", "medium"),)),
+        ("'Medicare ' || mbi || ' was renewed'", (("US_MEDICARE", "mbi", "medium"),)),
         ("'дата рождения ' || birth", (("DATE_OF_BIRTH", "birth", "high"),)),
         ("'водительское удостоверение ' || rdl", (("RU_DRIVER_LICENSE", "rdl", "medium"),)),
-        ("'найден ключ ' || aws || ' в логах'", (("SECRET_AWS", "aws", "high"),)),
-        ("'сервер ' || ip6 || ' доступен'", (("IP_ADDRESS", "ip6", "medium"),)),
+        ("'в черновике лежит ' || aws || ' без пояснений'", (("SECRET_AWS", "aws", "high"),)),
+        ("'метеостанция ' || ip6 || ' отвечает'", (("IP_ADDRESS", "ip6", "medium"),)),
         ("'call ' || tel || ' now'", (("PHONE", "tel", "high"),)),
-        (f"'номер ' || {digits('plain', 9)} || ' в списке'", ()),
-        ("'Подпись: ' || initials || ', расшифровка прилагается.'", (("PERSON", "initials", "high"),)),
+        (f"'полка ' || {digits('plain', 9)} || ' пуста'", ()),
+        ("'Протокол вела ' || initials || ', копия у секретаря.'", (("PERSON", "initials", "high"),)),
     )
 
     def add(columns: dict) -> str:
@@ -444,14 +443,14 @@ ORACLES = {
     "guard_actions": f"""WITH {NET_SPANS} SELECT lang, CASE WHEN doc_id IN (SELECT doc_id FROM net) THEN 'hold'
         ELSE 'pass' END AS action, count(*) AS n FROM documents GROUP BY ALL""",
     "leak_count": f"""WITH {NET_SPANS} SELECT count(DISTINCT doc_id) AS leaks_prevented FROM net WHERE doc_id % 3 = 0""",
-    "policies_sanitized": f"""SELECT tenant, CASE k WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PHONE,CARD' END AS types,
-        CASE k WHEN 4 THEN 'high' END AS min_confidence, CASE k WHEN 0 THEN 'ru' END AS language,
+    "policies_sanitized": f"""SELECT tenant, CASE k WHEN 0 THEN 'IBAN' WHEN 1 THEN 'US_SSN,CARD' END AS types,
+        CASE k WHEN 4 THEN 'high' END AS min_confidence, CASE k WHEN 0 THEN 'en' END AS language,
         CASE k WHEN 1 THEN false END AS guard_enabled, CASE k WHEN 0 THEN false END AS instruction_enabled,
-        CASE k WHEN 0 THEN 'poe' END AS off,
-        CASE k WHEN 0 THEN 'square' WHEN 4 THEN 'curly' END AS placeholder_style FROM {POLICY_ROWS}""",
+        CASE k WHEN 0 THEN 'grok' END AS off,
+        CASE k WHEN 0 THEN 'guillemet' WHEN 4 THEN 'curly' END AS placeholder_style FROM {POLICY_ROWS}""",
     "policies_effective": f"""SELECT tenant, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 24 END AS n_types,
         CASE k WHEN 4 THEN 'high' ELSE 'medium' END AS min_confidence, k <> 1 AS guard_enabled,
-        CASE k WHEN 4 THEN 'curly' ELSE 'square' END AS placeholder_style, k NOT IN (0, 1) AS poe_guarded
+        CASE k WHEN 4 THEN 'curly' WHEN 0 THEN 'guillemet' ELSE 'square' END AS placeholder_style, k NOT IN (0, 1) AS grok_guarded
         FROM {POLICY_ROWS}""",
     "generated_labels": f"""WITH {corpus('orders', 'o_orderkey')} SELECT id AS item_id, md5(text) AS digest,
         len(ls) AS n_expected FROM gen""",

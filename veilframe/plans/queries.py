@@ -25,8 +25,8 @@ CORPUS = ScanConfig(CORPUS_TYPES)
 NET = ScanConfig(("EMAIL", "IP_ADDRESS"))
 FULL_WIDTH_FROM = "0123456789abcdefghijklmnopqrstuvwxyz"
 FULL_WIDTH_TO = "".join(chr(ord(c) + 0xFEE0) for c in FULL_WIDTH_FROM)
-HOSTS = ("chatgpt.com", "chat.openai.com", "www.perplexity.ai", "poe.com", "mypoe.company.com",
-         "chatgpt.com.evil.example", "notclaude.ai.example", "claude.ai", "app.giga.chat")
+HOSTS = ("giga.chat", "grok.com", "eu.chat.deepseek.com", "gemini.google.com", "grok.company.test", "notgrok.com",
+         "claude.ai.mirror.test", "perplexity.ai", "alice.yandex.ru.test")
 
 
 KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"), "customer": ("c_custkey",),
@@ -258,11 +258,11 @@ def guard_actions(spark, sf):
 def _policies(spark, sf):
     key = F.col("c_custkey")
     return table(spark, sf, "customer").select(key.alias("tenant"), F.when(F.pmod(key, F.lit(5)) == 0, F.lit(
-        '{"enabledTypes":["EMAIL","BOGUS",123],"minConfidence":"ultra","language":"ru","guardEnabled":"yes",'
-        '"instructionEnabled":false,"guardDisabledSites":["poe",5],"placeholderStyle":"square","evil":"x"}'))
-        .when(F.pmod(key, F.lit(5)) == 1, F.lit('{"guardEnabled":false,"enabledTypes":["PHONE","CARD"]}'))
-        .when(F.pmod(key, F.lit(5)) == 2, F.lit("42"))
-        .when(F.pmod(key, F.lit(5)) == 3, F.lit("not json"))
+        '{"enabledTypes":["IBAN",null,"PLANET"],"minConfidence":"extreme","language":"en","guardEnabled":1,'
+        '"instructionEnabled":false,"guardDisabledSites":[true,"grok"],"placeholderStyle":"guillemet","colour":"red"}'))
+        .when(F.pmod(key, F.lit(5)) == 1, F.lit('{"enabledTypes":["US_SSN","CARD"],"guardEnabled":false}'))
+        .when(F.pmod(key, F.lit(5)) == 2, F.lit("[7]"))
+        .when(F.pmod(key, F.lit(5)) == 3, F.lit("{half"))
         .otherwise(F.lit('{"minConfidence":"high","placeholderStyle":"curly"}')).alias("policy_json"))
 
 
@@ -277,7 +277,7 @@ def policies_effective(spark, sf):
     p = policy.with_defaults(policy.sanitize_policies(_policies(spark, sf)))
     return p.select("tenant", F.size("enabled_types").alias("n_types"), "min_confidence", "guard_enabled",
                     "placeholder_style", guard.guard_active(
-                        F.lit("poe"), F.col("guard_enabled"), F.col("guard_disabled_sites")).alias("poe_guarded"))
+                        F.lit("grok"), F.col("guard_enabled"), F.col("guard_disabled_sites")).alias("grok_guarded"))
 
 
 def leak_count(spark, sf):
