@@ -117,5 +117,5 @@ def valid_iban(text: Column) -> Column:
     clean = F.upper(F.regexp_replace(text, f"[\\s{WIDE_SPACE}-]", ""))
     return let(clean, lambda c: F.when(
         (F.length(c) >= 15) & c.rlike("^[A-Z0-9]+$"),
-        mod97(F.concat(F.substring(c, 5, 10_000), F.substring(c, 1, 4))) == 1,
+        mod97(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1,
     ).otherwise(False))

@@ -138,8 +138,8 @@ class Rule:
     of the given ``lengths``. ``check`` sees a :class:`Hit` and keeps or drops it. ``cue``/``reach`` name words
     required within that many characters. ``confidence`` is a level or a function from hit to rank column.
     ``tail`` says that the pattern is two groups and the span is the second. ``hint`` is a cheap necessary pattern
-    (or test of the text); ``if_folded`` runs the rule only on texts that folding changes; ``words`` are lower-case substrings, one of which the lower-cased plain text must hold. ``ord`` orders rules with
-    equal spans.
+    (or test of the text); ``if_folded`` runs the rule only on texts that folding changes; ``words`` are lower-case substrings, one of which the lower-cased plain text must hold. ``needs_digits`` runs the rule only on texts with six dense digits
+    (built-in rules unless they say otherwise; a user's rule only if it asks). ``ord`` orders rules with equal spans.
     """
 
     type: str
@@ -156,7 +156,7 @@ class Rule:
     hint: str | Callable[[Column], Column] | None = None
     if_folded: bool = False
     words: tuple[str, ...] = ()
-    needs_digits: bool = True
+    needs_digits: bool | None = None
     ord: int = 0
 
 
@@ -331,8 +331,17 @@ def candidates(rules: list[Rule], views: Views, hits: Column) -> Column:
 
 def enabled_rules(cfg: ScanConfig) -> list[Rule]:
     """Structured rules of the enabled types, then the user's, in tie order."""
-    kept = [replace(rule, ord=i) for i, rule in enumerate(RULES) if cfg.wants(rule.type)]
-    return kept + [replace(rule, ord=200 + i) for i, rule in enumerate(cfg.extra)]
+    kept = [replace(rule, ord=i, needs_digits=rule.needs_digits is not False) for i, rule in enumerate(RULES)
+            if cfg.wants(rule.type)]
+    return kept + [replace(_own_pattern(rule), ord=200 + i) for i, rule in enumerate(cfg.extra)]
+
+
+def _own_pattern(rule: Rule) -> Rule:
+    """A user's rule on digit runs has a pattern of its own: the shared runs are those the built-in rules need."""
+    if rule.pattern or not rule.lengths:
+        return rule
+    runs = "|".join(f"[0-9]{{{n}}}" for n in rule.lengths)
+    return replace(rule, pattern=rf"{B}(?:{runs}){E}", lengths=())
 
 
 def reachable(rules: list[Rule], min_rank: int) -> list[Rule]:
