@@ -25,6 +25,7 @@ from veilframe.plans.staging import (
     stage,
 )
 
+UNKNOWN_SESSION = "unknown"
 VAULT_SCHEMA = "session_id string, seq bigint, original string, placeholder string, type string"
 
 
@@ -54,29 +55,37 @@ def _session_maps(table: DataFrame, session: str, key: str, value: str, name: st
 
 
 def _sized(table: DataFrame, session: str, key: str, value: str, small: bool | None) -> bool:
-    return _fits_broadcast(table, session, F.length(key) + F.length(value) + 32) if small is None else small
+    """Whether to broadcast: never without a measured size; ``small=False`` rules it out."""
+    return small is not False and _fits_broadcast(table, session, F.length(key) + F.length(value) + 32)
+
+
+def _known_session(session: str) -> Column:
+    return F.coalesce(F.col(session).cast("string"), F.lit(UNKNOWN_SESSION))
 
 
 def new_entries(occurrences: DataFrame, literals: DataFrame, order: list[str], vault: DataFrame | None,
                 style: str) -> DataFrame:
     """Vault entries for values seen for the first time, numbered as a reader would: by document, then position.
 
-    ``occurrences``: session_id, order columns, start, type, value. ``literals``: session_id, order columns, type,
-    num. A number continues the session's highest one of its type and skips numbers of placeholder-like tokens in
-    the document that adds the entry. With ``rn0`` entries of the type added by earlier documents and ``k`` the
-    place within the document, it is ``rn0 + k + max(vault, running max(literal - rn0))``.
+    ``occurrences``: session_id, __row, order columns, start, type, value. ``literals``: session_id, __row, type, num.
+    ``__row`` names the document; ``order`` columns may be null (first) or tie (by row). A number continues the
+    session's highest one of its type and skips numbers of placeholder-like tokens in the document that adds the entry.
+    With ``rn0`` entries of the type added by earlier documents and ``k`` the place within the document, it is
+    ``rn0 + k + max(vault, running max(literal - rn0))``.
     """
+    order = [*order, "__row"]
     firsts = occurrences.groupBy("session_id", F.col("value").alias("original")).agg(
         F.min(F.struct(*order, "start", "type")).alias("first"))
     if vault is not None:
         firsts = firsts.join(vault.select("session_id", "original"), ["session_id", "original"], "left_anti")
     fresh = stage(firsts.select("session_id", "original", "first.*"))
 
-    doc = ["session_id", *order]
-    added = fresh.groupBy(*doc, "type").agg(F.count(F.lit(1)).alias("added"))
+    doc = ["session_id", "__row"]
+    sorting = ["session_id", *order]
+    added = fresh.groupBy(*sorting, "type").agg(F.count(F.lit(1)).alias("added"))
     pasted = literals.groupBy(*doc, "type").agg(F.max("num").alias("literal"))
     blocks = in_blocks(
-        added.join(pasted, [*doc, "type"], "left").withColumn("literal", F.coalesce("literal", F.lit(0))), doc)
+        added.join(pasted, [*doc, "type"], "left").withColumn("literal", F.coalesce("literal", F.lit(0))), sorting)
 
     kind = ["session_id", "type"]
     local = Window.partitionBy(*kind, "block").orderBy(*order)
@@ -99,7 +108,7 @@ def new_entries(occurrences: DataFrame, literals: DataFrame, order: list[str], v
 
     # Entry order of a session: earlier documents, then position within the document.
     seen = Window.partitionBy("session_id", "block").orderBy(*order)
-    per_doc = blocks.groupBy(*doc, "block").agg(F.sum("added").alias("added"))
+    per_doc = blocks.groupBy(*sorting, "block").agg(F.sum("added").alias("added"))
     places = per_doc.join(block_offsets(per_doc, ["session_id"], F.col("added")), ["session_id", "block"]).select(
         *doc, (F.col("offset") + F.sum("added").over(seen) - F.col("added")).alias("seq0"))
     if vault is not None:
@@ -122,26 +131,32 @@ def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame |
          small_vault: bool | None = None) -> Masked:
     """Replace every detection by its session's placeholder; one value has one placeholder per session.
 
-    ``session`` and ``order`` together must identify a row; ``order`` is the order of arrival. The scan runs once:
-    its result is written to the shared folder, split by whether a text has detections, and only texts that have
-    some take part in joins. A vault of checked small size is joined by broadcast, a larger one by value.
-    ``small_vault`` forces the choice.
+    ``order`` is the order of arrival; ties are settled by the place in the input, nulls come first. A null session is
+    the session ``unknown``. A text whose detections are null was not scanned: its masked text is null. A detection
+    without a placeholder is an error, never published. The scan runs once: its result is written to the shared folder,
+    split by whether a text has detections, and only texts that have some take part in joins, by a row number of their
+    own. A vault of measured small size is joined by broadcast, a larger one by value; both give the same rows.
+    ``small_vault=False`` rules the broadcast out.
     """
     if session in order:
         raise ValueError("the session is not part of the order within the session")
     columns = list(scanned.columns)
+    ordered = [f"__o{i}" for i in range(len(order))]
     base = stage(scanned.withColumns({
         "__literals": F.when(F.size(detections) > 0, literal_numbers(F.col(text_col))),
-        "__dirty": F.size(detections) > 0,
+        "__dirty": F.coalesce(F.size(detections) > 0, F.lit(False)),
+        "__row": F.monotonically_increasing_id(),
+        "__session": _known_session(session),
+        **{o: F.col(c) for o, c in zip(ordered, order)},
     }), partition_by="__dirty")
     dirty, clean = base.filter("__dirty"), base.filter("not __dirty")
-    doc = ["session_id", *order]
-    keyed = dirty.withColumn("session_id", F.col(session).cast("string")) if session != "session_id" else dirty
+    doc = [F.col("__session").alias("session_id"), "__row"]
 
-    hits = keyed.select(*doc, F.posexplode(detections).alias("__i", "d")).select(
-        *doc, "__i", F.col("d.start").alias("start"), F.col("d.type").alias("type"), F.col("d.value").alias("value"))
-    literals = keyed.select(*doc, F.explode("__literals").alias("p")).select(*doc, "p.type", "p.num")
-    entries = new_entries(hits, literals, order, vault, style)
+    hits = dirty.select(*doc, *ordered, F.posexplode(detections).alias("__i", "d")).select(
+        "session_id", "__row", *ordered, "__i", F.col("d.start").alias("start"), F.col("d.type").alias("type"),
+        F.col("d.value").alias("value"))
+    literals = dirty.select(*doc, F.explode("__literals").alias("p")).select("session_id", "__row", "p.type", "p.num")
+    entries = new_entries(hits, literals, ordered, vault, style)
 
     known = entries
     if vault is not None:
@@ -149,49 +164,62 @@ def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame |
         wanted = hits.select("session_id", F.col("value").alias("original")).distinct()
         known = entries.unionByName(
             vault.select(*entries.columns).join(wanted, ["session_id", "original"], "left_semi"))
-    tokens = known.select("session_id", F.col("original").alias("value"), "placeholder")
-    if _sized(tokens, "session_id", "value", "placeholder", small_vault):
-        maps = _session_maps(tokens, "session_id", "value", "placeholder", "__map")
-        rows = keyed.join(F.broadcast(maps), "session_id", "left").withColumn("__new", F.transform(
+    # A value stored twice keeps its first placeholder.
+    tokens = known.groupBy(F.col("session_id").alias("__session"), F.col("original").alias("value")).agg(
+        F.min_by("placeholder", F.struct("seq", "placeholder")).alias("placeholder"))
+    if _sized(tokens, "__session", "value", "placeholder", small_vault):
+        maps = _session_maps(tokens, "__session", "value", "placeholder", "__map")
+        rows = dirty.join(F.broadcast(maps), "__session", "left").withColumn("__new", F.transform(
             detections, lambda d: F.try_element_at("__map", d["value"])))
     else:
-        found = lookup(hits.select(*doc, "__i", "value"), tokens, ["session_id", "value"])
-        per_doc = found.groupBy(*doc).agg(
+        found = lookup(hits.select(F.col("session_id").alias("__session"), "__row", "__i", "value"), tokens,
+                       ["__session", "value"])
+        per_doc = found.groupBy("__row").agg(
             F.array_sort(F.collect_list(F.struct("__i", "placeholder"))).alias("__pairs"))
-        rows = keyed.join(per_doc, doc).withColumn("__new", F.transform("__pairs", lambda p: p["placeholder"]))
+        rows = dirty.join(per_doc, "__row", "left").withColumn(
+            "__new", F.transform("__pairs", lambda p: p["placeholder"]))
+    missing = F.raise_error(F.lit("a detection has no placeholder")).cast("string")
     masked = rows.withColumn(out, let(F.col("__new"), lambda new: rewrite(
-        F.col(text_col), F.col(detections), lambda d, i: F.coalesce(F.get(new, i), d["value"]))))
+        F.col(text_col), F.col(detections), lambda d, i: F.coalesce(F.get(new, i), missing))))
     kept = [*columns, out]
-    return Masked(masked.select(*kept).unionByName(clean.withColumn(out, F.col(text_col)).select(*kept)), entries)
+    untouched = clean.withColumn(out, F.when(F.col(detections).isNotNull(), F.col(text_col)))
+    return Masked(masked.select(*kept).unionByName(untouched.select(*kept)), entries)
 
 
-def restore(df: DataFrame, vault: DataFrame, session: str, key: list[str], text_col: str = "masked",
+def restore(df: DataFrame, vault: DataFrame, session: str, key: list[str] | None = None, text_col: str = "masked",
             out: str = "restored", missing: str = "missing", strip: bool = False,
             small_vault: bool | None = None) -> DataFrame:
     """Put the originals back. Unknown placeholders, as from another session, stay and are listed once each in
-    ``missing``, last in the text first. ``key`` identifies a row; ``strip`` removes the instruction sentence first.
+    ``missing``, last in the text first; so does a placeholder that the vault gives to several originals. A null session
+    is the session ``unknown``. ``strip`` removes the instruction sentence first. Rows are told apart by a number of
+    their own; ``key`` is accepted for older callers and not used.
     """
     text = strip_instruction(F.col(text_col)) if strip else F.col(text_col)
     columns = list(df.columns)
     work = df.withColumn("__text", text).withColumn("__tokens", find_placeholders(F.col("__text")))
-    base = stage(work.withColumn("__dirty", F.coalesce(F.size("__tokens") > 0, F.lit(False))), partition_by="__dirty")
+    base = stage(work.withColumns({
+        "__dirty": F.coalesce(F.size("__tokens") > 0, F.lit(False)), "__row": F.monotonically_increasing_id(),
+        "__session": _known_session(session)}), partition_by="__dirty")
     dirty, clean = base.filter("__dirty"), base.filter("not __dirty")
-    doc = ["__session", *key]
-    keyed = dirty.withColumn("__session", F.col(session).cast("string"))
+    tokens = dirty.select("__session", "__row", F.posexplode("__tokens").alias("__i", "s")).select(
+        "__session", "__row", "__i", F.col("s.match").alias("token"))
+    # Only the entries that these texts name.
     entries = vault.select(
-        F.col("session_id").alias("__session"), F.col("placeholder").alias("token"), F.col("original"))
+        F.col("session_id").alias("__session"), F.col("placeholder").alias("token"), "original").join(
+        tokens.select("__session", "token").distinct(), ["__session", "token"], "left_semi").groupBy(
+        "__session", "token").agg(F.when(F.min("original") == F.max("original"), F.min("original")).alias("original"))
+    entries = stage(entries.filter("original IS NOT NULL"))
 
     if _sized(entries, "__session", "token", "original", small_vault):
         maps = _session_maps(entries, "__session", "token", "original", "__map")
-        rows = keyed.join(F.broadcast(maps), "__session", "left").withColumn("__old", F.transform(
+        rows = dirty.join(F.broadcast(maps), "__session", "left").withColumn("__old", F.transform(
             "__tokens", lambda s: F.try_element_at("__map", s["match"])))
     else:
-        tokens = keyed.select(*doc, F.posexplode("__tokens").alias("__i", "s")).select(
-            *doc, "__i", F.col("s.match").alias("token"))
         found = lookup(tokens, entries, ["__session", "token"])
-        per_doc = found.groupBy(*doc).agg(
+        per_doc = found.groupBy("__row").agg(
             F.array_sort(F.collect_list(F.struct("__i", "original"))).alias("__pairs"))
-        rows = keyed.join(per_doc, doc).withColumn("__old", F.transform("__pairs", lambda p: p["original"]))
+        rows = dirty.join(per_doc, "__row", "left").withColumn(
+            "__old", F.transform("__pairs", lambda p: p["original"]))
     unknown = F.filter(
         F.zip_with("__tokens", "__old", lambda s, o: F.when(o.isNull(), s["match"])), lambda t: t.isNotNull())
     restored = rows.withColumns({
