@@ -158,8 +158,8 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> dict[str, np.ndarray
 class Lexicon:
     """The automaton's arrays, mapped from files."""
 
-    def __init__(self, folder: str):
-        a = {n: np.load(os.path.join(folder, f"{n}.npy"), mmap_mode="r") for n in ARRAYS}
+    def __init__(self, prefix: str):
+        a = {n: np.load(f"{prefix}-{n}.npy", mmap_mode="r") for n in ARRAYS}
         self.first, self.label, self.target = a["first"], a["label"], a["target"]
         self.before, self.final, self.offset, self.ids = a["before"], a["final"], a["offset"], a["ids"]
         self.root = len(self.first) - 2
@@ -222,7 +222,7 @@ def build_lexicon(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
                   longest: int = 64) -> str:
     """Count all words of all texts, compile the most frequent ones and send the files to every executor.
 
-    Returns the name prefix of the files. The lexicon's size is bounded by ``max_words`` and ``longest`` (bytes).
+    Returns the prefix of the files' names. The lexicon's size is bounded by ``max_words`` and ``longest`` (bytes).
     """
     spark = docs.sparkSession
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(
@@ -231,19 +231,19 @@ def build_lexicon(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
         F.desc("n"), "word").limit(max_words).collect()
     vocabulary = Vocabulary(_read(path), pattern)
     arrays = compile_lexicon({w: vocabulary.merge(w) for w in (r.word.encode() for r in rows)})
-    folder = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    for name, values in arrays.items():
-        np.save(os.path.join(folder, f"{name}.npy"), values)
-    # addFile copies from the driver, so an executor that joins later gets the files as well.
-    spark.sparkContext.addFile(folder, recursive=True)
-    return os.path.basename(folder)
+    folder, name = tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}"
+    for part, values in arrays.items():
+        file = os.path.join(folder, f"{name}-{part}.npy")
+        np.save(file, values)
+        # The driver serves the file, so an executor that joins later gets it as well.
+        spark.sparkContext.addFile(file)
+    return name
 
 
 def _encode(path: str, pattern: str, lexicon_name: str, n_kept: int, packed: bool):
     def encode(batches):
         vocabulary = Vocabulary(_read(path), pattern)
-        lexicon = Lexicon(SparkFiles.get(lexicon_name))
+        lexicon = Lexicon(os.path.join(SparkFiles.getRootDirectory(), lexicon_name))
         ids_of: dict[str | int, np.ndarray] = {i: np.array([i], np.int32) for i in vocabulary.special.values()}
         pieces = vocabulary.pieces
         for b in batches:

@@ -33,7 +33,7 @@ from veilframe.llm.repeats import (
     _next_prime,
     _slice_of,
 )
-from veilframe.plans.staging import stage
+from veilframe.plans.staging import BROADCAST_BYTES, stage
 
 # There are at most (mean shingles per text) / HOT_SHARE hot tokens; they only set the order, never the result.
 HOT_SHARE = 1 / 100
@@ -67,6 +67,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int):
         yield lo, hi, row, token
 
 
+def _nodes(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the rows' sets, and a hash of each set."""
+    n = np.bincount(row, minlength=rows)
+    at = np.cumsum(n) - n
+    sums = np.append(np.uint64(0), np.cumsum(R.mix(token), dtype=np.uint64))
+    return n, R.mix(sums[at + n] - sums[at] + n.astype(np.uint64)).view(np.int64)
+
+
 def _hot_tokens(shingle: int):
     def count(batches):
         def flush(tokens, texts):
@@ -101,13 +109,10 @@ def _emit(shingle: int, percent: int, buckets: int, slices: int, hot_tokens):
             data, offsets = R.texts(b.column(1))
             nodes, entries = [], []
             for lo, hi, row, token in shingle_sets(data, offsets, shingle):
-                n = np.bincount(row, minlength=hi - lo)
-                at = np.cumsum(n) - n
                 out = np.zeros(hi - lo, NODE)
-                out["d"], out["n"] = ids[lo:hi], n
-                sums = np.append(0, np.cumsum(R.mix(token)).astype(np.uint64)).astype(np.uint64)
-                total = sums[at + n] - sums[at]
-                out["v"] = R.mix(total + n.astype(np.uint64)).view(np.int64)
+                out["d"] = ids[lo:hi]
+                n, out["v"] = _nodes(row, token, hi - lo)
+                out["n"] = n
                 bits = np.zeros((hi - lo, BITS), bool)
                 bits[row, (token % np.uint64(BITS)).astype(np.int64)] = True
                 out["bits"] = np.packbits(bits, axis=1)
@@ -245,8 +250,9 @@ def _bound(percent: int):
     return keep
 
 
-def _matrix(percent: int):
-    """Pairs of one long posting that the group bounds and the pair bounds allow."""
+def _matrix(percent: int, best: bool):
+    """Pairs of one long posting that the group bounds and the pair bounds allow; with ``best`` the likeliest one of
+    each query."""
 
     def reduce(key, table):
         table = table.sort_by([("component", "ascending"), ("v", "ascending")])
@@ -257,6 +263,7 @@ def _matrix(percent: int):
         ends = np.append(heads[1:], len(comp))
         unions = np.bitwise_or.reduceat(bits, heads, axis=0)
         most, least = np.maximum.reduceat(n, heads), np.minimum.reduceat(n, heads)
+        top, partner = np.zeros(len(comp)), np.full(len(comp), -1, np.int64)
         out = []
         for g, (i, j) in enumerate(zip(heads, ends)):
             other = np.flatnonzero(comp > comp[i])
@@ -264,11 +271,21 @@ def _matrix(percent: int):
             reach = n[other] - _outside(bits[other], unions[g][None])
             for q in other[reach >= _ceil_share(n[other], percent, 100)]:
                 m = np.arange(i, j)
-                ok = _may_link(n[q], r[q], n[m], r[m], percent)
+                m = m[_may_link(n[q], r[q], n[m], r[m], percent)]
                 need = _least_overlap(n[q], n[m], percent)
-                ok &= n[q] - _outside(bits[q][None], bits[m]) >= need
-                ok &= n[m] - _outside(bits[m], bits[q][None]) >= need
-                out.append(np.stack([v[m[ok]], np.full(ok.sum(), v[q])], 1))
+                most_both = np.minimum(n[q] - _outside(bits[q][None], bits[m]), n[m] - _outside(bits[m], bits[q][None]))
+                m, likely = m[most_both >= need], (most_both / need)[most_both >= need]
+                if not len(m):
+                    continue
+                if best:
+                    k = likely.argmax()
+                    if likely[k] > top[q]:
+                        top[q], partner[q] = likely[k], m[k]
+                else:
+                    out.append(np.stack([v[m], np.full(len(m), v[q])], 1))
+        if best:
+            q = np.flatnonzero(partner >= 0)
+            out = [np.stack([v[partner[q]], v[q]], 1)]
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
@@ -276,27 +293,21 @@ def _matrix(percent: int):
 
 
 def _sets_of(shingle: int):
-    def take(key, docs, wanted):
-        ids = wanted.column("rep").to_numpy()
-        order = np.argsort(ids)
-        ids, nodes = ids[order], wanted.column("node").to_numpy()[order]
-        docs = docs.filter(pa.array(np.isin(docs.column("__d").to_numpy(), ids)))
-        have = docs.column("__d").to_numpy()
-        data, offsets = R.texts(docs.column("__t"))
-        out_nodes, blobs, seen = [], [], set()
-        for lo, hi, row, token in shingle_sets(data, offsets, shingle):
-            bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-            for k in range(hi - lo):
-                d = have[lo + k]
-                if d in seen:
-                    continue
-                seen.add(d)
-                at = np.searchsorted(ids, d)
-                while at < len(ids) and ids[at] == d:
-                    out_nodes.append(nodes[at])
+    """Packed sets of the texts whose set is the wanted node."""
+
+    def take(batches):
+        for b in batches:
+            wanted = b.column(0).to_numpy()
+            data, offsets = R.texts(b.column(1))
+            nodes, blobs = [], []
+            for lo, hi, row, token in shingle_sets(data, offsets, shingle):
+                _, found = _nodes(row, token, hi - lo)
+                bounds = np.searchsorted(row, np.arange(hi - lo + 1))
+                for k in np.flatnonzero(found == wanted[lo:hi]):
+                    nodes.append(found[k])
                     blobs.append(token[bounds[k]:bounds[k + 1]].tobytes())
-                    at += 1
-        return pa.table({"node": pa.array(out_nodes, pa.int64()), "tokens": pa.array(blobs, pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())],
+                                             ["node", "tokens"])
 
     return take
 
@@ -347,31 +358,33 @@ def ngram_join(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str
 
     def verified(pairs):
         pairs = stage(pairs)
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(
-            nodes.select("node", "rep"), "node")
-
-        def sliced(df, d):
-            return df.withColumn("key", F.pmod(F.col(d).bitwiseXOR(F.shiftrightunsigned(d, 17)), F.lit(slices)))
-
-        sets = stage(sliced(texts, "__d").groupBy("key").cogroup(sliced(wanted, "rep").groupBy("key")).applyInArrow(
-            _sets_of(shingle), "node long, tokens binary"))
+        wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(
+            nodes.select("node", "rep"), "node"))
+        # The wanted nodes are broadcast only where their measured number is small; else the texts are shuffled.
+        small = wanted.count() * 2 * 8 <= BROADCAST_BYTES
+        sets = stage(texts.join(F.broadcast(wanted) if small else wanted, F.col("__d") == F.col("rep")).select(
+            "node", "__t").mapInArrow(_sets_of(shingle), "node long, tokens binary"))
         one = sets.select(F.col("node").alias("u"), F.col("tokens").alias("tokens1"))
         two = sets.select(F.col("node").alias("v"), F.col("tokens").alias("tokens2"))
-        return stage(pairs.join(one, "u").join(two, "v").mapInArrow(_verify(percent), "u long, v long"))
+        return stage(pairs.join(one, "u").join(two, "v").mapInArrow(_verify(percent), "u long, v long").distinct())
 
     short = _rows(found, 1, np.dtype([("u", "<i8"), ("v", "<i8")]), {"u": "u", "v": "v"}, "u long, v long")
     links = verified(bounded(short))
     groups = components(links).withColumnRenamed("u", "v")
-    long = _rows(found, 2, ENTRY, {"t": "t", "v": "v", "n": "n", "r": "r"}, "t long, v long, n int, r int")
-    grouped = stage(long.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v")))
-    several = grouped.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b")
-    if several.limit(1).count():
-        more = grouped.join(several.select("t"), "t", "left_semi").join(
-            nodes.select(F.col("node").alias("v"), "bits"), "v")
-        pairs = more.withColumn("n", F.col("n").cast("long")).groupBy("t").applyInArrow(
-            _matrix(percent), "u long, v long").distinct()
+    # Long postings, twice with each query's likeliest partner outside its group, then with all that are left.
+    rest = stage(_rows(found, 2, ENTRY, {"t": "t", "v": "v", "n": "n", "r": "r"}, "t long, v long, n int, r int"))
+    for best in (True, True, False):
+        grouped = rest.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        several = grouped.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(
+            "a != b").select("t")
+        rest = stage(grouped.join(several, "t", "left_semi"))
+        if not rest.limit(1).count():
+            break
+        more = rest.join(nodes.select(F.col("node").alias("v"), "bits"), "v").withColumn("n", F.col("n").cast("long"))
+        pairs = more.groupBy("t").applyInArrow(_matrix(percent, best), "u long, v long").distinct()
         links = links.unionByName(verified(pairs))
         groups = components(links).withColumnRenamed("u", "v")
+        rest = rest.drop("component")
     # Components are named by nodes so far; name them by their least id.
     named = nodes.join(groups, F.col("node") == F.col("v"), "left").select(
         "node", "rep", F.coalesce("component", "node").alias("c"))
