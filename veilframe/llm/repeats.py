@@ -10,7 +10,7 @@ anchor; equal windows have equal anchors. Three steps, each a shuffle of packed
    that also start in an earlier text. A stretch that differs at one end is found here.
 3. The texts take up their repeated windows; symbols covered by one are removed.
 
-Buckets and slices number about one per 16 MB of text, so what a task holds at once does not grow with the input.
+Buckets and slices number about one per 8 MB of text, so what a task holds at once does not grow with the input.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from veilframe.plans.staging import stage
 
 RUN = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("n", "<i4")])
 SPAN = np.dtype([("d", "<i8"), ("a", "<u8"), ("s", "<i4"), ("n", "<i4")])  # a: anchor of an open run, else 0
-SHARE_BYTES = 16 << 20
+SHARE_BYTES = 8 << 20
 FLUSH_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 BLOBS = "key long, blob binary"
@@ -133,6 +133,7 @@ def _emit(sym: Symbols, width: int, buckets: int, slices: int):
                                  (SPAN, spans, -1 - _slice_of(spans["d"], slices))):
             if len(rows):
                 yield _batch(*_blobs(kind, rows, keys))
+        R.release()
 
     def emit(batches):
         found, size = [], 0
@@ -149,6 +150,25 @@ def _emit(sym: Symbols, width: int, buckets: int, slices: int):
     return emit
 
 
+def _grouped(work):
+    """A group function that leaves no freed memory with its worker."""
+    def run(key, table):
+        out = work(key, table)
+        R.release()
+        return out
+
+    return run
+
+
+def _cogrouped(work):
+    def run(key, left, right):
+        out = work(key, left, right)
+        R.release()
+        return out
+
+    return run
+
+
 def _first_texts(slices: int):
     """Repeats among equal runs of a bucket, and the open runs; blobs of settled spans pass through."""
 
@@ -336,12 +356,12 @@ def without_repeats(docs: DataFrame, sym: Symbols, solve: Solve, width: int = 50
         *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
     texts = keyed.select("__d", "__t")
     runs = texts.mapInArrow(_emit(sym, width, buckets, slices), BLOBS)
-    settled = stage(runs.groupBy("key").applyInArrow(_first_texts(slices), BLOBS))
+    settled = stage(runs.groupBy("key").applyInArrow(_grouped(_first_texts(slices)), BLOBS))
     by_slice = keyed.select("key", "__d", "__t").groupBy("key")
-    stretches = by_slice.cogroup(settled.groupBy("key")).applyInArrow(_send_open(sym, width, buckets), BLOBS)
-    solved = stretches.groupBy("key").applyInArrow(_solve_open(sym, width, slices, solve), BLOBS)
+    stretches = by_slice.cogroup(settled.groupBy("key")).applyInArrow(_cogrouped(_send_open(sym, width, buckets)), BLOBS)
+    solved = stretches.groupBy("key").applyInArrow(_grouped(_solve_open(sym, width, slices, solve)), BLOBS)
 
     result = StructType.fromDDL(RESULT)
     schema = StructType([docs.schema[id_col], *[docs.schema[c] for c in carry], *result.fields])
     return keyed.groupBy("key").cogroup(settled.unionByName(solved).groupBy("key")).applyInArrow(
-        _removed(sym, width, carry, to_arrow_schema(schema)), schema)
+        _cogrouped(_removed(sym, width, carry, to_arrow_schema(schema))), schema)

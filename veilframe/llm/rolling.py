@@ -6,6 +6,7 @@ a text costs a few vector operations.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_C_LIBRARY = ctypes.CDLL(None)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -91,6 +93,14 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(RUN_BASE))
 
 
+def release() -> None:
+    """Give freed memory back. Workers are kept for later tasks and would hold on to the most they ever needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C_LIBRARY, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
