@@ -115,7 +115,7 @@ def _emit(shingle: int, percent: int, buckets: int, slices: int, hot_tokens):
                 out["n"] = n
                 bits = np.zeros((hi - lo, BITS), bool)
                 bits[row, (token % np.uint64(BITS)).astype(np.int64)] = True
-                out["bits"] = np.packbits(bits, axis=1)
+                out["bits"] = np.packbits(bits, axis=1, bitorder="little")
                 nodes.append(out)
                 # One text of each set in the slice stands for all of them.
                 _, which = np.unique(out["v"], return_index=True)
@@ -228,10 +228,19 @@ def _rows(blobs: DataFrame, of: int, kind: np.dtype, names: dict[str, str], sche
 
 
 def _outside(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Bits set on the left and not on the right."""
+    """Bits set on the left and not on the right (64-bit words)."""
     return np.bitwise_count(left & ~right).sum(-1, dtype=np.int64)
 
 
+def _words_of(column, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64).reshape(rows, BITS // 64)
+
+
+def _both_at_most(n1, bits1, n2, bits2):
+    """Upper bound of the intersections of two sets, from either side."""
+    return np.minimum(n1 - _outside(bits1, bits2), n2 - _outside(bits2, bits1))
+
+
 def _least_overlap(n1, n2, percent):
     """Smallest intersection i with 100 i >= percent (n1 + n2 - i)."""
     return _ceil_share(n1 + n2, percent, 100 + percent)
@@ -240,16 +249,34 @@ def _least_overlap(n1, n2, percent):
 def _bound(percent: int):
     def keep(batches):
         for b in batches:
-            bits = [np.frombuffer(b"".join(x.as_py() for x in b.column(c)), np.uint8).reshape(-1, BITS // 8)
-                    for c in ("bits1", "bits2")]
             n1, n2 = (b.column(c).to_numpy() for c in ("n1", "n2"))
-            least = _least_overlap(n1, n2, percent)
-            ok = (n1 - _outside(*bits) >= least) & (n2 - _outside(*bits[::-1]) >= least)
+            bits1, bits2 = (_words_of(b.column(c), b.num_rows) for c in ("bits1", "bits2"))
+            ok = _both_at_most(n1, bits1, n2, bits2) >= _least_overlap(n1, n2, percent)
             yield b.select(["u", "v"]).filter(pa.array(ok))
 
     return keep
 
 
+def _bound_wide(percent: int):
+    """The same on bitmaps that grow with the sets; the longer of two is folded to the other's length."""
+
+    def folded(bits, length):
+        bits = np.frombuffer(bits.as_buffer(), np.uint64)
+        return np.bitwise_or.reduce(bits.reshape(-1, length), axis=0)
+
+    def keep(batches):
+        for b in batches:
+            ok = []
+            for x, y, n1, n2 in zip(b.column("wide1"), b.column("wide2"), b.column("n1").to_pylist(),
+                                    b.column("n2").to_pylist()):
+                length = min(len(x.as_buffer()), len(y.as_buffer())) // 8
+                most = _both_at_most(n1, folded(x, length), n2, folded(y, length))
+                ok.append(most >= _least_overlap(n1, n2, percent))
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return keep
+
+
 def _matrix(percent: int, best: bool):
     """Pairs of one long posting that the group bounds and the pair bounds allow; with ``best`` the likeliest one of
     each query."""
@@ -257,32 +284,39 @@ def _matrix(percent: int, best: bool):
     def reduce(key, table):
         table = table.sort_by([("component", "ascending"), ("v", "ascending")])
         comp, v, n, r = (table.column(c).to_numpy() for c in ("component", "v", "n", "r"))
-        bits = np.frombuffer(b"".join(x.as_py() for x in table.column("bits")), np.uint8).reshape(-1, BITS // 8)
-        place = np.arange(len(comp)) - np.searchsorted(comp, comp)
-        heads = np.flatnonzero(_first_of(comp, place // GROUP))
-        ends = np.append(heads[1:], len(comp))
-        unions = np.bitwise_or.reduceat(bits, heads, axis=0)
-        most, least = np.maximum.reduceat(n, heads), np.minimum.reduceat(n, heads)
+        bits = _words_of(table.column("bits"), len(comp))
         top, partner = np.zeros(len(comp)), np.full(len(comp), -1, np.int64)
         out = []
-        for g, (i, j) in enumerate(zip(heads, ends)):
-            other = np.flatnonzero(comp > comp[i])
-            other = other[(100 * n[other] >= percent * least[g]) & (percent * n[other] <= 100 * most[g])]
-            reach = n[other] - _outside(bits[other], unions[g][None])
-            for q in other[reach >= _ceil_share(n[other], percent, 100)]:
-                m = np.arange(i, j)
-                m = m[_may_link(n[q], r[q], n[m], r[m], percent)]
-                need = _least_overlap(n[q], n[m], percent)
-                most_both = np.minimum(n[q] - _outside(bits[q][None], bits[m]), n[m] - _outside(bits[m], bits[q][None]))
-                m, likely = m[most_both >= need], (most_both / need)[most_both >= need]
-                if not len(m):
-                    continue
+        for i in range(0, len(comp), GROUP):
+            j = min(len(comp), i + GROUP)
+            # Rows of the matrix: the groups of this chunk, each with its members' union.
+            heads = np.flatnonzero(_first_of(comp[i:j]))
+            group = np.cumsum(_first_of(comp[i:j])) - 1
+            unions = np.bitwise_or.reduceat(bits[i:j], heads, axis=0)
+            least, most = np.minimum.reduceat(n[i:j], heads), np.maximum.reduceat(n[i:j], heads)
+            for at in range(i, len(comp), GROUP):
+                q = np.arange(at, min(len(comp), at + GROUP))
+                size = n[q][:, None]
+                opened = (100 * size >= percent * least) & (percent * size <= 100 * most) & (
+                    comp[q][:, None] > comp[i + heads])
+                a, g = np.nonzero(opened)
+                reach = n[q[a]] - _outside(bits[q[a]], unions[g])
+                opened[a, g] = reach >= _ceil_share(n[q[a]], percent, 100)
+                a, m = np.nonzero(opened[:, group])
+                a, m = q[a], i + m
+                ok = _may_link(n[a], r[a], n[m], r[m], percent)
+                a, m = a[ok], m[ok]
+                both = _both_at_most(n[a], bits[a], n[m], bits[m])
+                need = _least_overlap(n[a], n[m], percent)
+                a, m, likely = a[both >= need], m[both >= need], (both / need)[both >= need]
                 if best:
-                    k = likely.argmax()
-                    if likely[k] > top[q]:
-                        top[q], partner[q] = likely[k], m[k]
+                    order = np.argsort(likely)
+                    a, m, likely = a[order], m[order], likely[order]
+                    better = likely > top[a]
+                    # Of equal indices the last assignment, the likeliest, stays.
+                    top[a[better]], partner[a[better]] = likely[better], m[better]
                 else:
-                    out.append(np.stack([v[m], np.full(len(m), v[q])], 1))
+                    out.append(np.stack([v[m], v[a]], 1))
         if best:
             q = np.flatnonzero(partner >= 0)
             out = [np.stack([v[partner[q]], v[q]], 1)]
@@ -292,22 +326,32 @@ def _matrix(percent: int, best: bool):
     return reduce
 
 
+def _wide(token: np.ndarray) -> bytes:
+    bits = np.zeros(max(BITS, 1 << int(4 * len(token)).bit_length()), np.uint8)
+    bits[(token % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _sets_of(shingle: int):
-    """Packed sets of the texts whose set is the wanted node."""
+    """Packed sets of the texts whose set is the wanted node, and their bitmaps."""
 
     def take(batches):
         for b in batches:
             wanted = b.column(0).to_numpy()
             data, offsets = R.texts(b.column(1))
-            nodes, blobs = [], []
+            nodes, sizes, wide, blobs = [], [], [], []
             for lo, hi, row, token in shingle_sets(data, offsets, shingle):
-                _, found = _nodes(row, token, hi - lo)
+                n, found = _nodes(row, token, hi - lo)
                 bounds = np.searchsorted(row, np.arange(hi - lo + 1))
                 for k in np.flatnonzero(found == wanted[lo:hi]):
+                    own = token[bounds[k]:bounds[k + 1]]
                     nodes.append(found[k])
-                    blobs.append(token[bounds[k]:bounds[k + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())],
-                                             ["node", "tokens"])
+                    sizes.append(n[k])
+                    wide.append(_wide(own))
+                    blobs.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()),
+                 pa.array(blobs, pa.binary())], ["node", "n", "wide", "tokens"])
 
     return take
 
@@ -356,24 +400,38 @@ def ngram_join(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str
         two = nodes.select(F.col("node").alias("v"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
         return pairs.distinct().join(one, "u").join(two, "v").mapInArrow(_bound(percent), "u long, v long")
 
+    sets = None
+
     def verified(pairs):
+        nonlocal sets
         pairs = stage(pairs)
-        wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(
-            nodes.select("node", "rep"), "node"))
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        wanted = stage(wanted.join(nodes.select("node", "rep"), "node"))
         # The wanted nodes are broadcast only where their measured number is small; else the texts are shuffled.
         small = wanted.count() * 2 * 8 <= BROADCAST_BYTES
-        sets = stage(texts.join(F.broadcast(wanted) if small else wanted, F.col("__d") == F.col("rep")).select(
-            "node", "__t").mapInArrow(_sets_of(shingle), "node long, tokens binary"))
-        one = sets.select(F.col("node").alias("u"), F.col("tokens").alias("tokens1"))
-        two = sets.select(F.col("node").alias("v"), F.col("tokens").alias("tokens2"))
-        return stage(pairs.join(one, "u").join(two, "v").mapInArrow(_verify(percent), "u long, v long").distinct())
+        fresh = stage(texts.join(F.broadcast(wanted) if small else wanted, F.col("__d") == F.col("rep")).select(
+            "node", "__t").mapInArrow(_sets_of(shingle), "node long, n long, wide binary, tokens binary"))
+        sets = fresh if sets is None else sets.unionByName(fresh)
+
+        def side(node, *columns):
+            return sets.select(F.col("node").alias(node), *[F.col(c).alias(c + ("1" if node == "u" else "2"))
+                                                            for c in columns])
+
+        likely = stage(pairs.join(side("u", "n", "wide"), "u").join(side("v", "n", "wide"), "v").mapInArrow(
+            _bound_wide(percent), "u long, v long"))
+        # Whole sets travel for the pairs that are left only.
+        few = F.broadcast(likely) if likely.count() * 2 * 8 <= BROADCAST_BYTES else likely
+        return stage(side("u", "tokens").join(few, "u").join(side("v", "tokens").join(few, "v"), ["u", "v"]).mapInArrow(
+            _verify(percent), "u long, v long").distinct())
 
     short = _rows(found, 1, np.dtype([("u", "<i8"), ("v", "<i8")]), {"u": "u", "v": "v"}, "u long, v long")
     links = verified(bounded(short))
     groups = components(links).withColumnRenamed("u", "v")
-    # Long postings, twice with each query's likeliest partner outside its group, then with all that are left.
+    # Long postings, first with each query's likeliest partner outside its group, then with all that are left.
     rest = stage(_rows(found, 2, ENTRY, {"t": "t", "v": "v", "n": "n", "r": "r"}, "t long, v long, n int, r int"))
-    for best in (True, True, False):
+    for best in (True, False):
         grouped = rest.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
         several = grouped.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(
             "a != b").select("t")
