@@ -12,7 +12,9 @@ import json
 import os
 import tempfile
 import uuid
+from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEXICON_WORDS = 1 << 16
-LEAST_COUNT = 4
+from veilframe.plans.staging import stage
+
+LEXICON_WORDS = 1 << 18
+LEAST_COUNT = 3
+SHIFT = 20  # ids have fewer bits
+MASK = (1 << SHIFT) - 1
+NO_RANK = 1 << 62
 ARRAYS = ("first", "label", "target", "before", "final", "offset", "ids")
 
 
@@ -36,14 +43,15 @@ class Vocabulary:
         as_bytes = lambda s: bytes(self.byte_of[c] for c in s)
         self.ids = {as_bytes(s): i for s, i in data["model"]["vocab"].items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
-        self.ranks = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (r, self.ids[as_bytes(a + b)])
+        # A pair's rank and the id it becomes in one number, so that the smallest number is the lowest rank.
+        self.ranks = {self.ids[as_bytes(a)] << SHIFT | self.ids[as_bytes(b)]: r << SHIFT | self.ids[as_bytes(a + b)]
                       for r, (a, b) in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.pieces = {i: b for b, i in self.ids.items()} | {i: c.encode() for c, i in self.special.items()}
+        by_id = {i: b for b, i in self.ids.items()} | {i: c.encode() for c, i in self.special.items()}
+        self.pieces = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.pattern = regex.compile(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
-        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def words(self, text: str) -> list[str | int]:
         """Words of the pattern; special tokens as their ids."""
@@ -61,16 +69,19 @@ class Vocabulary:
         ids = [self.ids[word[i:i + 1]] for i in range(len(word))]
         if len(ids) > 64:
             return self._merge_long(ids)
-        ranks = self.ranks
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = ranks.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, i
-            if best is None:
+        find = self.ranks.get
+        pairs = [find(a << SHIFT | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == NO_RANK:
                 break
-            ids[at:at + 2] = [best[1]]
+            i = pairs.index(best)
+            ids[i:i + 2] = [best & MASK]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = find(ids[i] << SHIFT | ids[i + 1], NO_RANK)
+            if i:
+                pairs[i - 1] = find(ids[i - 1] << SHIFT | ids[i], NO_RANK)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
@@ -78,21 +89,26 @@ class Vocabulary:
 
         after = [*range(1, len(ids)), -1]
         before = list(range(-1, len(ids) - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1)
-                if (r := self.ranks.get((ids[i], ids[i + 1])))]
+
+        def entry(i):
+            j = after[i]
+            r = self.ranks.get(ids[i] << SHIFT | ids[j]) if j >= 0 else None
+            return None if r is None else (r, i, ids[i], ids[j])
+
+        heap = [e for e in map(entry, range(len(ids) - 1)) if e]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.ranks[a, b][1], -1
+            ids[i], ids[j] = r & MASK, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (r := self.ranks.get((ids[x], ids[after[x]]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[after[x]]))
+                if x >= 0 and (e := entry(x)):
+                    heapq.heappush(heap, e)
         return tuple(x for x in ids if x >= 0)
 
 
@@ -155,6 +171,9 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> dict[str, np.ndarray
             "ids": np.array([i for w in order for i in words[w]], np.int32)}
 
 
+MEMO_WORDS = 400_000
+
+
 class Lexicon:
     """The automaton's arrays, mapped from files."""
 
@@ -194,23 +213,25 @@ class Lexicon:
         return out
 
 
-def _word_counts(path: str, pattern: str):
+def _word_counts(path: str, pattern: str, longest: int):
     def count(batches):
-        vocabulary, counts = Vocabulary(_read(path), pattern), Counter()
+        vocabulary, counts = _vocabulary(path, pattern), Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                counts.update(w for w in vocabulary.words(text or "") if isinstance(w, str))
-            if len(counts) > 300_000:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
+                counts.update(vocabulary.words(text or ""))
+                if len(counts) > 400_000:
+                    yield _counted(counts, longest)
+                    counts = Counter()
+        yield _counted(counts, longest)
 
     return count
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
+def _counted(counts: Counter, longest: int) -> pa.RecordBatch:
+    """Special tokens and words that are too long for the lexicon are left out."""
+    words = [w for w in counts if isinstance(w, str) and len(w) <= longest]
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        [pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
 
 
 def _read(path: str) -> str:
@@ -225,10 +246,24 @@ def build_lexicon(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     Returns the prefix of the files' names. The lexicon's size is bounded by ``max_words`` and ``longest`` (bytes).
     """
     spark = docs.sparkSession
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(
-        _word_counts(path, pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.filter((F.col("n") >= LEAST_COUNT) & (F.octet_length("word") <= longest)).orderBy(
-        F.desc("n"), "word").limit(max_words).collect()
+    counts = stage(docs.select(F.col(text_col).cast("string")).mapInArrow(
+        _word_counts(path, pattern, longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(
+        F.col("n") >= LEAST_COUNT))
+    # The least count that at most max_words words reach: one row a magnitude, then one a count within it.
+    held = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("m")).count().collect()
+    total, least = 0, LEAST_COUNT
+    for m, n in sorted(((r.m, r["count"]) for r in held), reverse=True):
+        if total + n > max_words:
+            same = counts.filter(F.floor(F.log2("n")).cast("int") == m).groupBy("n").count().orderBy(F.desc("n"))
+            least = 1 << (m + 1)
+            for r in same.toLocalIterator():
+                total += r["count"]
+                if total > max_words:
+                    break
+                least = r.n
+            break
+        total += n
+    rows = counts.filter((F.col("n") >= least) & (F.octet_length("word") <= longest)).collect()
     vocabulary = Vocabulary(_read(path), pattern)
     arrays = compile_lexicon({w: vocabulary.merge(w) for w in (r.word.encode() for r in rows)})
     folder, name = tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}"
@@ -240,31 +275,61 @@ def build_lexicon(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     return name
 
 
+class Encoder:
+    """Ids of words, packed: the lexicon first, else merged. What was looked up lately is kept, ``MEMO_WORDS`` at most."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.packed, self.offset = lexicon.ids.astype("<u4").tobytes(), lexicon.offset.tolist()
+        self.special = {i: np.uint32(i).tobytes() for i in vocabulary.special.values()}
+        self.known: dict[str | int, bytes] = dict(self.special)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.vocabulary.words(t or "") for t in texts]
+        if len(self.known) > MEMO_WORDS:
+            self.known = dict(self.special)
+        fresh = list(set().union(*cut) - self.known.keys())
+        encoded = [w.encode() for w in fresh]
+        for w, raw, k in zip(fresh, encoded, self.lexicon.numbers(encoded).tolist()):
+            self.known[w] = self.packed[4 * self.offset[k]:4 * self.offset[k + 1]] if k >= 0 \
+                else array("I", self.vocabulary.merge(raw)).tobytes()
+        find = self.known.__getitem__
+        return [b"".join(map(find, words)) for words in cut]
+
+    def decode(self, rows: list[bytes]) -> list[str]:
+        numbers = np.frombuffer(b"".join(rows), "<u4")
+        pieces = list(map(self.vocabulary.pieces.__getitem__, numbers.tolist()))
+        ends = np.cumsum([len(r) // 4 for r in rows]).tolist()
+        return [b"".join(pieces[i:j]).decode("utf-8", "replace") for i, j in zip([0, *ends], ends)]
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(path: str, pattern: str) -> Vocabulary:
+    return Vocabulary(_read(path), pattern)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str, prefix: str) -> Encoder:
+    """A worker's encoder serves all its tasks of a run."""
+    return Encoder(_vocabulary(path, pattern), Lexicon(prefix))
+
+
 def _encode(path: str, pattern: str, lexicon_name: str, n_kept: int, packed: bool):
     def encode(batches):
-        vocabulary = Vocabulary(_read(path), pattern)
-        lexicon = Lexicon(os.path.join(SparkFiles.getRootDirectory(), lexicon_name))
-        ids_of: dict[str | int, np.ndarray] = {i: np.array([i], np.int32) for i in vocabulary.special.values()}
-        pieces = vocabulary.pieces
+        encoder = _encoder(path, pattern, os.path.join(SparkFiles.getRootDirectory(), lexicon_name))
         for b in batches:
             texts = b.column(n_kept).to_pylist()
             for lo in range(0, len(texts), 512):
-                cut = [vocabulary.words(t or "") for t in texts[lo:lo + 512]]
-                if len(ids_of) > 200_000:
-                    ids_of = {i: ids_of[i] for i in vocabulary.special.values()}
-                fresh = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in ids_of]
-                encoded = [w.encode() for w in fresh]
-                for w, raw, k in zip(fresh, encoded, lexicon.numbers(encoded).tolist()):
-                    ids_of[w] = lexicon.ids[lexicon.offset[k]:lexicon.offset[k + 1]] if k >= 0 \
-                        else np.array(vocabulary.merge(raw), np.int32)
-                rows = [np.concatenate([ids_of[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in cut]
-                decoded = [b"".join(map(pieces.__getitem__, r.tolist())).decode("utf-8", "replace") for r in rows]
-                sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                ids = pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary()) if packed else \
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows)))
-                part = b.slice(lo, len(cut))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], ids, pa.array(decoded, pa.string())],
-                                                 [*b.schema.names[:n_kept], "ids", "decoded"])
+                rows = encoder.encode(texts[lo:lo + 512])
+                if packed:
+                    ids = pa.array(rows, pa.binary())
+                else:
+                    ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+                part = b.slice(lo, len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:n_kept], ids, pa.array(encoder.decode(rows), pa.string())],
+                    [*b.schema.names[:n_kept], "ids", "decoded"])
 
     return encode
 
