@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from veilframe.plans.staging import in_blocks, stage
 
 
+# Scheme, optional user, host (a bracketed address as it is), optional port. Java's parser refuses addresses that every
+# browser takes: blanks, braces or | in the path, _ in the host.
+_AUTHORITY = r"(?s)^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\s]+)(?::[0-9]*)?"
+# What a browser writes as %XX in a path: controls, blank, " < > ^ ` { } and all beyond ASCII.
+_ESCAPED = r'[^!$-;=@-\]_a-z|~%&\[]'
+
+
 def url_host(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    host = F.lower(F.regexp_extract(url, _AUTHORITY + "(?:[/?#].*)?$", 1))
+    return F.when(host != "", host)
 
 
 def url_path(url: Column) -> Column:
-    """Path of a URL, ``/`` if it has none; NULL for a text that is no URL."""
-    path = F.try_parse_url(url, F.lit("PATH"))
-    return F.when(url_host(url).isNotNull(), F.when(F.coalesce(path, F.lit("")) == "", F.lit("/")).otherwise(path))
+    """Path of a URL as a browser writes it, ``/`` if it has none; NULL for a text that is no URL."""
+    path = F.regexp_extract(url, _AUTHORITY + "(/[^?#]*)?", 2)
+    written = F.array_join(F.transform(F.split(path, ""), lambda c: F.when(
+        c.rlike(_ESCAPED), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)), "")
+    path = F.when(path.rlike(_ESCAPED), written).otherwise(path)
+    return F.when(url_host(url).isNotNull(), F.when(path == "", F.lit("/")).otherwise(path))
 
 
 def session_id(tab: Column, url: Column) -> Column:

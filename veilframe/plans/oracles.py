@@ -74,6 +74,11 @@ MASKED = f"""{VAULT},
      FROM documents d LEFT JOIN new USING (doc_id))"""
 
 
+NULL_SESSION = f"""WITH docs0 AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END
+  AS source FROM documents), {MASKED.replace('documents', 'docs0')} SELECT doc_id, md5(masked) AS digest FROM masked"""
+ROUND_TRIP = "SELECT doc_id, md5(text) AS digest, 0 AS missing FROM documents"
+
+
 # --- the synthetic texts, rebuilt from the row ids ---
 
 def h(salt: str) -> str:
@@ -409,6 +414,24 @@ ORACLES = {
         md5(rtrim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)))
           AS stripped FROM conversations""",
     "mask_documents": f"WITH {MASKED} SELECT doc_id, md5(masked) AS digest FROM masked",
+    "mask_null_session": NULL_SESSION,
+    "mask_null_session_by_value": NULL_SESSION,
+    "restore_null_session": ROUND_TRIP,
+    "restore_null_session_by_value": ROUND_TRIP,
+    "restore_repeated_keys": ROUND_TRIP,
+    "restore_repeated_keys_by_value": ROUND_TRIP,
+    "scan_user_rules": """WITH t AS (SELECT o_orderkey, lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS room,
+          lpad((o_orderkey * 7919)::VARCHAR, 24, '3') AS batch,
+          'LK-' || substr(translate(printf('%X', o_orderkey * 104729), '0123456789', 'GHIJKLMNOP'), 1, 3) AS tag
+          FROM orders),
+        x AS (SELECT *, 'room ' || room || ', batch ' || batch || ', tag ' || tag AS text FROM t),
+        u AS (SELECT o_orderkey, text, unnest([{'type': 'ROOM', 'value': room, 'start': 5},
+          {'type': 'BATCH', 'value': batch, 'start': 17}, {'type': 'TAG', 'value': tag, 'start': 47}], recursive := true)
+          FROM x)
+        SELECT o_orderkey, type, start, start + length(value) AS stop, value FROM u""",
+    "session_ids_odd": """SELECT page_id, '7_' || CASE page_id % 6 WHEN 0 THEN 'chat_room.test/a%20b/' || page_id
+        WHEN 1 THEN 'chat.test/x|y/' || page_id WHEN 2 THEN 'chat.test/%7Bid%7D/' || page_id
+        WHEN 3 THEN 'chat.test/%C3%A9/' || page_id WHEN 4 THEN 'unknown' ELSE 'chat.test/' END AS session_id FROM pages""",
     "vault_entries": f"WITH {VAULT} SELECT * FROM vault",
     "restore_documents": "SELECT doc_id, md5(text) AS digest, 0 AS missing FROM documents",
     "restore_elsewhere": f"""WITH {MASKED} SELECT doc_id, md5(masked) AS digest,

@@ -12,6 +12,7 @@ from veilframe.functions import checksums as ck
 from veilframe.functions import placeholders as ph
 from veilframe.functions import textforms as tf
 from veilframe.operators import crypt, evaluate, generate, guard, mask, policy, sessions
+from veilframe.operators.detectors import Rule
 from veilframe.operators.scan import explode_detections, scan, scan_selection, type_counts
 from veilframe.plans.staging import shared_folder, stage
 from veilframe.sources.catalog import match_site
@@ -189,6 +190,53 @@ def restore_elsewhere(spark, sf):
         "missing", " ").alias("missing"))
 
 
+def _masked_without_session(spark, sf, **options):
+    """Every third document has no session."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(
+        F.pmod("doc_id", F.lit(3)) != 0, F.col("source")).alias("source"))
+    return mask.mask(scan(docs, "text", NET), "source", ["doc_id"], **options)
+
+
+def mask_null_session(spark, sf, small=None):
+    return _masked_without_session(spark, sf, small_vault=small).rows.select("doc_id", F.md5("masked").alias("digest"))
+
+
+def restore_null_session(spark, sf, small=None):
+    m = _masked_without_session(spark, sf, small_vault=small)
+    back = mask.restore(m.rows, m.entries, "source", small_vault=small)
+    return back.select("doc_id", F.md5("restored").alias("digest"), F.size("missing").alias("missing"))
+
+
+def restore_repeated_keys(spark, sf, small=None):
+    """Two documents of a source share each place in the order; no value gets another's placeholder."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text", F.expr("doc_id div 40").alias("place"))
+    m = mask.mask(scan(docs, "text", NET), "source", ["place"], small_vault=small)
+    back = mask.restore(m.rows, m.entries, "source", small_vault=small)
+    return back.select("doc_id", F.md5("restored").alias("digest"), F.size("missing").alias("missing"))
+
+
+def scan_user_rules(spark, sf):
+    """A user's own rules: few digits, and digit runs of unusual lengths."""
+    key = F.col("o_orderkey")
+    texts = table(spark, sf, "orders").select("o_orderkey", F.concat(
+        F.lit("room "), F.lpad(F.pmod(key, F.lit(10_000)).cast("string"), 4, "0"), F.lit(", batch "),
+        F.lpad((key * 7919).cast("string"), 24, "3"), F.lit(", tag LK-"),
+        F.substring(F.translate(F.hex(key * 104729), "0123456789", "GHIJKLMNOP"), 1, 3)).alias("text"))
+    own = (Rule("TAG", r"LK-[A-P]{1,3}"), Rule("ROOM", lengths=(4,)), Rule("BATCH", lengths=(24,)))
+    return explode_detections(scan(texts, "text", ScanConfig(("EMAIL",), extra=own)), ["o_orderkey"]).select(
+        "o_orderkey", "type", "start", F.col("end").alias("stop"), "value")
+
+
+def session_ids_odd(spark, sf):
+    """Addresses that browsers take and strict parsers refuse."""
+    n = F.col("page_id").cast("string")
+    forms = F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in (
+        ("https://chat_room.test/a b/", "?q=1"), ("https://Chat.test/x|y/", "#t"), ("https://chat.test/{id}/", ""),
+        ("https://user@chat.test:8443/é/", "?a b"), ("no address ", ""), ("https://chat.test?n=", ""))])
+    return table(spark, sf, "pages").select("page_id", sessions.session_id(F.lit(7), F.get(
+        forms, F.pmod("page_id", F.lit(6)).cast("int"))).alias("session_id"))
+
+
 def residue_check(spark, sf):
     m = _masked(spark, sf)
     back = mask.restore(m.rows, m.entries, "source", ["doc_id"])
@@ -411,6 +459,14 @@ QUERIES = {
     "restore_documents": restore_documents,
     "restore_documents_by_value": partial(restore_documents, small=False),
     "restore_elsewhere": restore_elsewhere,
+    "mask_null_session": mask_null_session,
+    "mask_null_session_by_value": partial(mask_null_session, small=False),
+    "restore_null_session": restore_null_session,
+    "restore_null_session_by_value": partial(restore_null_session, small=False),
+    "restore_repeated_keys": restore_repeated_keys,
+    "restore_repeated_keys_by_value": partial(restore_repeated_keys, small=False),
+    "scan_user_rules": scan_user_rules,
+    "session_ids_odd": session_ids_odd,
     "residue_check": residue_check,
     "session_summary": session_summary,
     "recent_sessions": recent_sessions,
