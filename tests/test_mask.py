@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.config import ScanConfig
 from veilframe.functions.placeholders import STYLES
 from veilframe.operators import crypt, evaluate, mask, sessions
 from veilframe.operators.mask import VAULT_SCHEMA
@@ -219,3 +220,33 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         staging.shared_folder(Session())
+
+
+@pytest.mark.parametrize("small", [None, False])
+def test_masking_fails_closed(spark, small):
+    rows = [(None, 1, "mail a@b.com"), (None, None, "mail c@d.com"), ("s", None, "e@f.org"), ("s", 1, "e@f.org, g@h.org"),
+            ("s", 1, "i@j.org"), ("s", 2, None)]
+    df = spark.createDataFrame([(*r, "mine", 7) for r in rows],
+                               "session string, no int, text string, session_id string, start int")
+    m = mask.mask(scan(df, "text", ScanConfig(("EMAIL",))), "session", ["no"], small_vault=small)
+    got = m.rows.collect()
+    assert len(got) == len(rows) and not any("@" in (r.masked or "") for r in got)
+    assert all(r.session_id == "mine" and r.start == 7 for r in got)
+    entries = m.entries.collect()
+    assert len({(r.session_id, r.placeholder) for r in entries}) == len(entries) == 5
+    back = mask.restore(m.rows, m.entries, "session", small_vault=small).collect()
+    assert sorted(((r.text, r.restored) for r in back), key=repr) == sorted(((r[2], r[2]) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("small", [None, False])
+def test_unscanned_texts_and_ambiguous_entries(spark, small):
+    df = scan(spark.createDataFrame([("s", 1, "a@b.com"), ("s", 2, "x")], "session string, no int, text string"), "text",
+              ScanConfig(("EMAIL",)))
+    unscanned = df.withColumn("detections", F.when(F.col("no") == 1, F.col("detections")))
+    rows = {r.no: r.masked for r in mask.mask(unscanned, "session", ["no"], small_vault=small).rows.collect()}
+    assert rows == {1: "[EMAIL_1]", 2: None}
+    vault = spark.createDataFrame([("s", 1, "a@b.com", "[EMAIL_1]", "EMAIL"), ("s", 2, "c@d.com", "[EMAIL_1]", "EMAIL"),
+                                   ("s", 3, "e@f.com", "[EMAIL_2]", "EMAIL")], mask.VAULT_SCHEMA)
+    texts = spark.createDataFrame([("s", "to [EMAIL_1] and [EMAIL_2]")], "session string, masked string")
+    r = mask.restore(texts, vault, "session", small_vault=small).first()
+    assert r.restored == "to [EMAIL_1] and e@f.com" and r.missing == ["[EMAIL_1]"]

@@ -199,3 +199,10 @@ def test_generated_texts_meet_the_quality_gate(spark):
     assert q.passed and q.expected == q.matched == q.detected
     assert evaluate.loud_negatives(scanned).count() == 0
     assert explode_detections(scanned, ["item_id"]).count() == q.detected + q.persons_matched
+
+
+def test_user_rules_run_ungated_and_on_any_length(spark):
+    own = (Rule("BADGE", r"BX-[0-9]{4}"), Rule("FOUR", lengths=(4,)), Rule("LONG", lengths=(24,)))
+    df = spark.createDataFrame([("desk BX-1204 then",), ("gate 1204",), ("1" * 24,), ("1" * 23,)], "text string")
+    rows = explode_detections(scan(df, "text", ScanConfig(("EMAIL",), extra=own)), ["text"]).collect()
+    assert sorted((r.type, r.value) for r in rows) == [("BADGE", "BX-1204"), ("FOUR", "1204"), ("LONG", "1" * 24)]
