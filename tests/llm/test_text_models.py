@@ -18,11 +18,13 @@ def docs(spark):
 
 
 def test_toxicity_held_out(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = toxicity.query(spark, SF).join(labels, "doc_id").filter("held_out").collect()
+    """On the larger table: the smaller one has six toxic texts in the fold."""
+    larger = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{larger}/labels.parquet")
+    rows = toxicity.query(spark, larger).join(labels, "doc_id").filter("held_out").collect()
     toxic = [r.predicted for r in rows if r.toxic]
     clean = [r.predicted for r in rows if not r.toxic]
-    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+    assert len(toxic) > 50 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
     assert all(0 <= r.score <= 1 for r in rows)
 
 
@@ -30,9 +32,9 @@ def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 5.0, toxicity.fold("trash"): 4.0},
                                (toxicity.fold("trash can"),))
     m = toxicity.Matcher(lexicon)
-    assert [x[2] for x in m.matches(toxicity.fold("You 1D10T, іdіоt!"))] == [5.0, 5.0]
-    assert not m.matches(toxicity.fold("idiotic trashy")) and not m.matches(toxicity.fold("a trash can"))
-    assert len(m.matches(toxicity.fold("trash, a trash can"))) == 1
+    assert [x[2] for x in m.matches("You 1D10T, іdіоt! 1diot$$$")] == [5.0, 5.0, 5.0]
+    assert not m.matches("idiotic trashy") and not m.matches("a trash can")
+    assert len(m.matches("trash, a trash can")) == 1
     assert toxicity.Lexicon.from_json(lexicon.to_json()) == lexicon
 
 

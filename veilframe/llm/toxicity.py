@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 LOOKALIKES = "аaвbсcеeнhкkмmоoрpтtуyхxѕsіiјjԁdԛqԝwαaβbεeηnιiκkνvοoρpτtυuχxγy"
 STAND_INS = "0o1i3e4a5s7t8b@a$s!i|ili"
 FOLD = str.maketrans({s[i]: s[i + 1] for s in (LOOKALIKES, STAND_INS) for i in range(0, len(s), 2)})
-WORD = regex.compile(r"[\p{L}\p{M}]+")
+# A word may hold digits and signs; signs at its ends are not part of it.
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}@$!|]*[\p{L}\p{M}\p{N}])?")
 
 MAX_TERMS = 4_000
 LABELLED_ROWS = 30_000  # most labelled texts that are learned from, chosen by hash of the id
@@ -63,14 +64,18 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def matches(self, folded: str) -> list[tuple[int, int, float, str]]:
-        """Whole-word terms outside exception phrases: start, end, weight, term."""
+    def matches(self, text: str) -> list[tuple[int, int, float, str]]:
+        """Whole-word terms outside exception phrases: start and end in the folded text, weight, term.
+
+        A letter before or after makes the word another one; a sign or digit there does not.
+        """
         if not len(self.automaton):
             return []
-        found, excused, n = [], [], len(folded)
-        for last, (size, weight, term) in self.automaton.iter(folded):
+        plain = text.lower()
+        found, excused, n = [], [], len(plain)
+        for last, (size, weight, term) in self.automaton.iter(plain.translate(FOLD)):
             start, end = last + 1 - size, last + 1
-            if (start and folded[start - 1].isalpha()) or (end < n and folded[end].isalpha()):
+            if (start and plain[start - 1].isalpha()) or (end < n and plain[end].isalpha()):
                 continue
             (excused if weight is None else found).append((start, end, weight, term))
         if excused:
@@ -78,9 +83,8 @@ class Matcher:
         return found
 
     def features(self, text: str) -> tuple[float, int, int]:
-        folded = fold(text)
-        found = self.matches(folded)
-        return sum(f[2] for f in found), len(found), len(folded.split())
+        found = self.matches(text)
+        return sum(f[2] for f in found), len(found), len(text.split())
 
     def scores(self, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(design(weight, words) @ np.array(self.lexicon.function), -30, 30)))
@@ -109,7 +113,7 @@ def _count_words(batches):
     counts = (Counter(), Counter())
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts[toxic].update(set(WORD.findall(fold(text or ""))))
+            counts[toxic].update(set(map(fold, WORD.findall(text or ""))))
         if sum(map(len, counts)) > 500_000:
             yield _counted(counts)
             counts = (Counter(), Counter())
@@ -130,7 +134,7 @@ def _phrases(terms: dict[str, float]):
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 folded, seen = fold(text or ""), set()
-                for start, end, _, _ in matcher.matches(folded):
+                for start, end, _, _ in matcher.matches(text or ""):
                     before, after = regex.search(r"[\p{L}\p{M}]+ $", folded[max(0, start - 40):start]), \
                         regex.match(r" [\p{L}\p{M}]+", folded[end:end + 40])
                     if before:
