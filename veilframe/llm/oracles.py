@@ -37,7 +37,39 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c, 0) AS
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT {id} AS a, {id} AS b FROM {table} UNION SELECT a, y FROM reach JOIN e ON b = x),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)"""
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE w END, ' ') AS k
+      FROM d, range(1, greatest(len(w) - 4, least(len(w), 1)) + 1) r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id
+      GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+      WHERE 100 * shared >= 75 * (nx.n + ny.n - shared)),
+{_REACH.format(id='doc_id', table='documents')}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON a = d.doc_id
+"""
+
+EMBEDDING_DEDUP = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
+      WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+{_REACH.format(id='vec_id', table='embeddings')},
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON x = vec_id JOIN c ON a = vec_id
+"""
+
 ORACLES = {
+    "op3_embedding_dedup": EMBEDDING_DEDUP,
+    "op8_ngram_join": NGRAM_JOIN,
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op10_suffix_dedup": SUFFIX_DEDUP,
 }
