@@ -15,13 +15,14 @@ Buckets and slices number about one per 8 MB of text, so what a task holds at on
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import rolling as R
@@ -325,6 +326,13 @@ def _removed(sym: Symbols, width: int, carry: list[str], schema: pa.Schema):
     return take
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nobody reads any more. It does so when the driver's garbage collector
+    finds them, which a driver with little to do may put off until the disks of the executors are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _next_prime(n: int) -> int:
     while any(n % k == 0 for k in range(2, math.isqrt(n) + 1)):
         n += 1
@@ -357,6 +365,7 @@ def without_repeats(docs: DataFrame, sym: Symbols, solve: Solve, width: int = 50
     texts = keyed.select("__d", "__t")
     runs = texts.mapInArrow(_emit(sym, width, buckets, slices), BLOBS)
     settled = stage(runs.groupBy("key").applyInArrow(_grouped(_first_texts(slices)), BLOBS))
+    drop_shuffles(docs.sparkSession)
     by_slice = keyed.select("key", "__d", "__t").groupBy("key")
     stretches = by_slice.cogroup(settled.groupBy("key")).applyInArrow(_cogrouped(_send_open(sym, width, buckets)), BLOBS)
     solved = stretches.groupBy("key").applyInArrow(_grouped(_solve_open(sym, width, slices, solve)), BLOBS)
