@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -330,6 +331,7 @@ def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the files of shuffles that nobody reads any more. It does so when the driver's garbage collector
     finds them, which a driver with little to do may put off until the disks of the executors are full."""
     gc.collect()
+    time.sleep(1)  # the listeners of the last write hold its plan for a moment
     spark.sparkContext._jvm.System.gc()
 
 
@@ -366,11 +368,11 @@ def without_repeats(docs: DataFrame, sym: Symbols, solve: Solve, width: int = 50
     runs = texts.mapInArrow(_emit(sym, width, buckets, slices), BLOBS)
     settled = stage(runs.groupBy("key").applyInArrow(_grouped(_first_texts(slices)), BLOBS))
     drop_shuffles(docs.sparkSession)
-    by_slice = keyed.select("key", "__d", "__t").groupBy("key")
+    by_slice = keyed.groupBy("key")  # the same exchange serves both steps that read the texts
     stretches = by_slice.cogroup(settled.groupBy("key")).applyInArrow(_cogrouped(_send_open(sym, width, buckets)), BLOBS)
     solved = stretches.groupBy("key").applyInArrow(_grouped(_solve_open(sym, width, slices, solve)), BLOBS)
 
     result = StructType.fromDDL(RESULT)
     schema = StructType([docs.schema[id_col], *[docs.schema[c] for c in carry], *result.fields])
-    return keyed.groupBy("key").cogroup(settled.unionByName(solved).groupBy("key")).applyInArrow(
+    return by_slice.cogroup(settled.unionByName(solved).groupBy("key")).applyInArrow(
         _cogrouped(_removed(sym, width, carry, to_arrow_schema(schema))), schema)
