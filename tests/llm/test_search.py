@@ -78,6 +78,30 @@ def test_decontam_edges(spark):
     assert decontam.decontaminated(docs, bench.limit(0)).count() == 6
 
 
+def test_large_benchmark_loses_no_verbatim_copy(spark):
+    rng = random.Random(11)
+    docs = [words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    docs = [d for d in docs if len(d) >= 80]
+    bench = []
+    while len(bench) < 900:  # far more passages than the latent space has directions
+        d, n = rng.choice(docs), rng.randint(15, 59)
+        at = rng.randrange(len(d) - n)
+        bench.append(d[at:at + n])
+    rows = []
+    for i, item in enumerate(bench):
+        body = rng.choice(docs)[:300]
+        at = rng.randrange(len(body))
+        rows.append((i, " ".join(body[:at] + item + body[at:])))
+    pasted = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(bench)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(pasted, benchmark).collect()}
+    assert [i for i in range(900) if (i, i) not in found] == []
+    short = spark.createDataFrame([(1, "quux zyzzyva"), (2, "the of")], "item_id long, text string")
+    texts = spark.createDataFrame([(k, "the words of the " + "quux zyzzyva " * (k == 3) + "of the of")
+                                   for k in range(40)], "doc_id long, text string")
+    assert (3, 1) in {(r.doc_id, r.item_id) for r in decontam.contaminated(texts, short).collect()}
+
+
 def brute_links(rows, cosine):
     links, parent = {}, {r[0]: r[0] for r in rows}
 

@@ -4,6 +4,9 @@ Benchmark items are cut into passages; TF-IDF weighs their words by document cou
 SVD (random projection, power iterations, small exact SVD; the products are Spark jobs over the passages) gives a latent
 space of bounded size. Every window of every document is folded into that space, and windows close to a passage by
 cosine are checked on their words: the longest common subsequence, and the passage's answer (its last words).
+
+The space is cut to ``RANK`` directions, so it holds some passages of a large benchmark badly. Beside it, whatever the
+cosine, every window in which ``SEED`` consecutive words of a passage begin gets the same check on its words.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ POWER_STEPS = 2
 COSINE = 0.4
 WEIGHT = 0.3  # of a passage's squared length that a window must give along it
 SHARE = 0.65  # of a passage's words found in order, within twice its length
+SEED = 4  # consecutive words; a shorter passage is a seed as a whole
 WEAK_SHARE = 0.5  # enough if the answer, the passage's last quarter, is there in one piece
 FOUND = "item_id {item}, passage long, first_word long, cosine double, share double, answer boolean"
 
@@ -77,6 +81,7 @@ class Space:
     numbers: list[int]  # of each passage within its item
     latent: np.ndarray  # unit vectors of the passages
     length: np.ndarray  # of the passages' vectors
+    documents: int
 
 
 class _Lookup:
@@ -96,6 +101,49 @@ class _Lookup:
         return at[hit], place[hit]
 
 
+def _seed_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    for k in range(n):
+        out = R.mix(out + codes[k:len(codes) - n + 1 + k])
+    return out
+
+
+class _Seeds:
+    """Passages by their runs of ``SEED`` words; shorter passages by all their words.
+
+    A short passage whose words meet by chance in a document or more of the corpus is none: only the cosine tells
+    whether it is quoted.
+    """
+
+    def __init__(self, space: Space):
+        lookup, self.kinds = _Lookup(space.features), []
+        by_size: dict[int, list[int]] = {}
+        for p, w in enumerate(space.words):
+            if len(w) >= SEED or len(w) and (
+                    space.idf[np.unique(lookup.find(w)[1])].sum() >= np.log(space.documents + 1)):
+                by_size.setdefault(min(SEED, len(w)), []).append(p)
+        for n, passages in by_size.items():
+            found = [np.unique(_seed_codes(space.words[p], n)) for p in passages]
+            codes = np.concatenate(found)
+            owner = np.repeat(np.array(passages), [len(x) for x in found])
+            order = np.argsort(codes, kind="stable")
+            seeds, edges = np.unique(codes[order], return_index=True)
+            self.kinds.append((n, _Lookup(seeds), np.append(edges, len(order)), owner[order]))
+
+    def find(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the runs of ``codes`` that are seeds, each with every passage that has it."""
+        words, passages = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, lookup, edges, owner in self.kinds:
+            at, place = lookup.find(_seed_codes(codes, n))
+            within = at + n <= bounds[np.searchsorted(bounds, at, "right")]
+            at, place = at[within], place[within]
+            count = edges[place + 1] - edges[place]
+            words.append(np.repeat(at, count))
+            passages.append(owner[np.repeat(edges[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+        return np.concatenate(words), np.concatenate(passages)
+
+
 def _passages(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """item, passage number and packed word hashes of every benchmark passage."""
     item = benchmark.schema[item_col].dataType.simpleString()
@@ -204,7 +252,7 @@ def build_space(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id"
     else:
         latent, length = np.zeros((0, basis.shape[1])), np.zeros(0)
     return Space(features, idf, (basis * idf[:, None]).astype(np.float32), [r.item for r in rows], words,
-                 [r.number for r in rows], latent.astype(np.float32), length.astype(np.float32))
+                 [r.number for r in rows], latent.astype(np.float32), length.astype(np.float32), int(total))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -265,6 +313,10 @@ def _search(space_sent, threshold: float, n_kept: int, item_type: pa.DataType, d
             least = most
             if len(chosen):
                 scales.append((chosen, space.latent[chosen].T.copy(), WEIGHT * space.length[chosen], blocks))
+        scale, column = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)  # of each passage
+        for k, (chosen, *_) in enumerate(scales):
+            scale[chosen], column[chosen] = k, np.arange(len(chosen))
+        seeds = _Seeds(space)
         weights = [Counter(w.tolist()) for w in space.words]
         vocabulary = [set(w) for w in weights]
         for b in batches:
@@ -281,12 +333,20 @@ def _search(space_sent, threshold: float, n_kept: int, item_type: pa.DataType, d
                     now = np.flatnonzero(turn == k)
                     running[block[now] + 1] += space.fold[place[now]]
                 np.cumsum(running, axis=0, out=running)
-                for chosen, unit, weight, blocks in scales:
+                seed, owner = seeds.find(codes, bounds)
+                seed = np.searchsorted(first, seed, "right") - 1
+                for number, (chosen, unit, weight, blocks) in enumerate(scales):
                     stop = np.minimum(np.arange(len(row)) + blocks, end)
                     latent = (running[stop] - running[:-1]).astype(np.float32)
                     along = latent @ unit
                     norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-6)
-                    for w, c in zip(*np.nonzero((along >= threshold * norm[:, None]) & (along >= weight))):
+                    near = (along >= threshold * norm[:, None]) & (along >= weight)
+                    mine = scale[owner] == number
+                    for back in range(blocks):  # the windows that hold the seed's first word
+                        at = np.maximum(seed[mine] - back, 0)
+                        same = row[at] == row[seed[mine]]
+                        near[at[same], column[owner[mine][same]]] = True
+                    for w, c in zip(*np.nonzero(near)):
                         p, start = chosen[c], first[w]
                         window = codes[start:min(start + blocks * BLOCK, bounds[row[w] + 1])]
                         known = vocabulary[p]
@@ -318,7 +378,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Windows of documents that hold a benchmark passage, word by word or with some words changed.
 
     One row per document id and item, the best window: passage, first_word, cosine, share (of the passage's words in
-    order) and answer (its last quarter is there in one piece). Documents and items that are null or without words match nothing;
+    order) and answer (its last quarter is there in one piece). The cosine of a window that only a seed found may be below
+    the threshold. Documents and items that are null or without words match nothing;
     a null id is an id. Repeated items each match. Only the id and the text are read of either table.
     """
     from pyspark.sql.pandas.types import to_arrow_type
