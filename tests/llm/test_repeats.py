@@ -76,6 +76,21 @@ def test_bytes_equal_brute_force(spark):
     assert result(suffix_dedup(frame(spark, rows))) == brute(rows, lambda t: list(t.encode()), bytes, 50)
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_different_texts_under_one_id(spark, shared):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    first = text(150)
+    near = first.split()
+    near[70] = "edit"
+    rows = [(1, first), (shared, first), (shared, text(200)), (shared, " ".join(near)), (shared, text(150)),
+            (9, text(90)), (9, text(60) + " " + first), (shared, first)]
+    want = brute(rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), lambda s: " ".join(s).encode(), 50)
+    assert result(substring_dedup(frame(spark, rows))) == want
+    want = brute(rows, lambda t: list(t.encode()), bytes, 50)
+    assert result(suffix_dedup(frame(spark, rows))) == want
+
+
 def test_spans_and_carried_columns(spark):
     df = frame(spark, [(1, "x " * 60), (2, "start " + "x " * 60 + "end")])
     rows = {r.doc_id: r for r in substring_dedup(df, carry=["key", "blob"]).collect()}

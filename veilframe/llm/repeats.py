@@ -31,6 +31,9 @@ from veilframe.plans.staging import stage
 
 RUN = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("n", "<i4")])
 SPAN = np.dtype([("d", "<i8"), ("a", "<u8"), ("s", "<i4"), ("n", "<i4")])  # a: anchor of an open run, else 0
+# Where ids are null or repeated, a row has a key of its own, r, by which it is found again; d is for comparison only.
+KEYED_RUN = np.dtype([*RUN.descr, ("r", "<i8")])
+KEYED_SPAN = np.dtype([*SPAN.descr, ("r", "<i8")])
 SHARE_BYTES = 8 << 20
 FLUSH_BYTES = 8 << 20
 LAST = (1 << 63) - 1
@@ -102,16 +105,20 @@ def _settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs, runs["d"] > least, new
 
 
+def _row_key(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows["r" if "r" in rows.dtype.names else "d"])
+
+
 def _spans(runs: np.ndarray, open_: bool) -> np.ndarray:
-    out = np.zeros(len(runs), SPAN)
-    for f in ("d", "s", "n"):
+    out = np.zeros(len(runs), KEYED_SPAN if "r" in runs.dtype.names else SPAN)
+    for f in {"d", "s", "n", "r"}.intersection(runs.dtype.names):
         out[f] = runs[f]
     if open_:
         out["a"] = runs["a"]
     return out
 
 
-def _runs_of(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, sym: Symbols, width: int):
+def _runs_of(ids: np.ndarray, keys: np.ndarray | None, data: np.ndarray, offsets: np.ndarray, sym: Symbols, width: int):
     """Yield RUN arrays, with the codes they refer to, of the given texts."""
     for lo, hi in R.slices(offsets):
         part = data[offsets[lo]:offsets[hi]]
@@ -120,28 +127,31 @@ def _runs_of(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, sym: Symbol
         first = np.searchsorted(owner, np.arange(hi - lo))
         for at, end in R.pieces(len(codes), width):
             a, c, s, n = R.winnowed_runs(codes[at:end], owner[at:end], sym.gram, width)
-            out = np.zeros(len(a), RUN)
+            out = np.zeros(len(a), RUN if keys is None else KEYED_RUN)
             row = owner[at:end][s]
+            if keys is not None:
+                out["r"] = keys[lo + row]
             out["a"], out["c"], out["d"] = a, c, ids[lo + row]
             out["s"], out["n"] = s + at - first[row], n
             yield out
 
 
-def _emit(sym: Symbols, width: int, buckets: int, slices: int):
+def _emit(sym: Symbols, width: int, buckets: int, slices: int, keyed: bool):
     def flush(found):
         runs, repeated, _ = _settle(np.concatenate(found))
         fresh, spans = runs[~repeated], _spans(runs[repeated], False)
-        for kind, rows, keys in ((RUN, fresh, _bucket_of(fresh["a"], buckets)),
-                                 (SPAN, spans, -1 - _slice_of(spans["d"], slices))):
+        for rows, keys in ((fresh, _bucket_of(fresh["a"], buckets)),
+                           (spans, -1 - _slice_of(_row_key(spans), slices))):
             if len(rows):
-                yield _batch(*_blobs(kind, rows, keys))
+                yield _batch(*_blobs(rows.dtype, rows, keys))
         R.release()
 
     def emit(batches):
         found, size = [], 0
         for b in batches:
             data, offsets = R.texts(b.column(1))
-            found.extend(_runs_of(b.column(0).to_numpy(), data, offsets, sym, width))
+            keys = b.column(2).to_numpy() if keyed else None
+            found.extend(_runs_of(b.column(0).to_numpy(), keys, data, offsets, sym, width))
             size += len(data)
             if size >= FLUSH_BYTES:
                 yield from flush(found)
@@ -171,7 +181,7 @@ def _cogrouped(work):
     return run
 
 
-def _first_texts(slices: int):
+def _first_texts(slices: int, keyed: bool):
     """Repeats among equal runs of a bucket, and the open runs; blobs of settled spans pass through."""
 
     def reduce(key, table):
@@ -179,7 +189,8 @@ def _first_texts(slices: int):
         blobs = table.column("blob")
         if name < 0:
             return pa.table({"key": pa.array([-1 - name] * len(blobs), pa.int64()), "blob": blobs})
-        runs, repeated, new = _settle(np.frombuffer(b"".join(x.as_py() for x in blobs), RUN))
+        runs, repeated, new = _settle(
+            np.frombuffer(b"".join(x.as_py() for x in blobs), KEYED_RUN if keyed else RUN))
         anchor_new = _first_of(runs["a"])
         group = np.cumsum(anchor_new) - 1
         edges = np.flatnonzero(anchor_new)
@@ -188,31 +199,32 @@ def _first_texts(slices: int):
         differ = np.minimum.reduceat(firsts, edges) != np.maximum.reduceat(firsts, edges)
         is_open = (several & differ)[group] & ~repeated
         spans = np.concatenate([_spans(runs[repeated], False), _spans(runs[is_open], True)])
-        return pa.Table.from_batches([_batch(*_blobs(SPAN, spans, _slice_of(spans["d"], slices)))])
+        return pa.Table.from_batches([_batch(*_blobs(spans.dtype, spans, _slice_of(_row_key(spans), slices)))])
 
     return reduce
 
 
-def _taken(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column("blob")), SPAN)
+def _taken(table: pa.Table, keyed: bool) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column("blob")), KEYED_SPAN if keyed else SPAN)
 
 
-def _located(ids, spans):
-    """Row of each span's text. Texts with the same id (they hold the same spans only if equal) each get a copy."""
-    order = np.argsort(ids, kind="stable")
-    lo, hi = np.searchsorted(ids[order], spans["d"], "left"), np.searchsorted(ids[order], spans["d"], "right")
-    count = hi - lo
-    which = np.repeat(np.arange(len(spans)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return order[lo[which] + place], spans[which]
+def _located(keys, spans):
+    """Row of each span's text, and the spans whose text is here."""
+    if not len(keys):
+        return np.zeros(0, np.int64), spans[:0]
+    order = np.argsort(keys, kind="stable")
+    own = _row_key(spans)
+    at = np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)
+    here = keys[order][at] == own
+    return order[at[here]], spans[here]
 
 
-def _send_open(sym: Symbols, width: int, buckets: int):
+def _send_open(sym: Symbols, width: int, buckets: int, keyed: bool):
     def send(key, docs, blobs):
-        spans = _taken(blobs)
+        spans = _taken(blobs, keyed)
         spans = spans[spans["a"] != 0]
-        ids = docs.column("__d").to_numpy()
-        keep = np.flatnonzero(np.isin(ids, spans["d"]))
+        ids = docs.column("__r").to_numpy()
+        keep = np.flatnonzero(np.isin(ids, _row_key(spans)))
         docs = docs.take(pa.array(keep))
         ids = ids[keep]
         data, offsets = R.texts(docs.column("__t"))
@@ -244,14 +256,16 @@ def _send_open(sym: Symbols, width: int, buckets: int):
     return send
 
 
-def _solve_open(sym: Symbols, width: int, slices: int, solve: Solve):
+def _solve_open(sym: Symbols, width: int, slices: int, solve: Solve, keyed: bool):
+    kind = KEYED_SPAN if keyed else SPAN
+
     def reduce(key, table):
         spans, symbols = [], []
         for x in table.column("blob"):
             raw = x.as_py()
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            spans.append(np.frombuffer(raw, SPAN, n, 8))
-            symbols.append(np.frombuffer(raw, sym.packed, -1, 8 + n * SPAN.itemsize))
+            spans.append(np.frombuffer(raw, kind, n, 8))
+            symbols.append(np.frombuffer(raw, sym.packed, -1, 8 + n * kind.itemsize))
         spans, symbols = np.concatenate(spans), np.concatenate(symbols)
         size = spans["n"].astype(np.int64) + width - 1
         starts = np.cumsum(size) - size
@@ -262,20 +276,21 @@ def _solve_open(sym: Symbols, width: int, slices: int, solve: Solve):
         begins = np.ones(len(stretch), bool)
         begins[1:] = (stretch[1:] != stretch[:-1]) | (place[1:] != place[:-1] + 1)
         edges = np.flatnonzero(begins)
-        out = np.zeros(len(edges), SPAN)
-        out["d"] = spans["d"][stretch[edges]]
+        out = np.zeros(len(edges), kind)
+        for f in {"d", "r"}.intersection(kind.names):
+            out[f] = spans[f][stretch[edges]]
         out["s"] = spans["s"][stretch[edges]] + place[edges]
         out["n"] = np.diff(np.append(edges, len(stretch)))
-        return pa.Table.from_batches([_batch(*_blobs(SPAN, out, _slice_of(out["d"], slices)))])
+        return pa.Table.from_batches([_batch(*_blobs(kind, out, _slice_of(_row_key(out), slices)))])
 
     return reduce
 
 
-def _removed(sym: Symbols, width: int, carry: list[str], schema: pa.Schema):
+def _removed(sym: Symbols, width: int, carry: list[str], schema: pa.Schema, keyed: bool):
     def take(key, docs, blobs):
-        spans = _taken(blobs)
+        spans = _taken(blobs, keyed)
         spans = spans[spans["a"] == 0]
-        ids = docs.column("__d").to_numpy()
+        ids = docs.column("__r").to_numpy()
         data, offsets = R.texts(docs.column("__t"))
         parts = []
         for lo, hi in R.slices(offsets):
@@ -347,8 +362,9 @@ def without_repeats(docs: DataFrame, sym: Symbols, solve: Solve, width: int = 50
 
     One row per input row: the id, the ``carry`` columns, n_symbols, n_removed, spans (removed runs, in symbols, end
     exclusive) and kept (what stays; bytes of UTF-8). Windows are judged on the input. A null text is empty. Rows with a
-    null id come after all others and are not compared with each other; so are rows with equal ids. No other column is
-    read, so their names do not matter; a ``carry`` column named like a result is refused.
+    null id come after all others and are not compared with each other; rows with equal ids are not either. Where there
+    are such rows, the texts are written down once with a key for each row. No other column is read, so their names do
+    not matter; a ``carry`` column named like a result is refused.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -356,23 +372,31 @@ def without_repeats(docs: DataFrame, sym: Symbols, solve: Solve, width: int = 50
     carry = list(carry or [])
     if set(carry) & {id_col, "n_symbols", "n_removed", "spans", "kept"}:
         raise ValueError("a carried column has the name of a result")
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    total, most = docs.groupBy(key.alias("d")).agg(
+        F.sum(F.octet_length(F.col(text_col))).alias("size"), F.count(F.lit(1)).alias("n")).agg(
+        F.sum("size"), F.max("n")).first()
+    total, keyed = total or 0, (most or 0) > 1
     slices = _next_prime(max(31, total // SHARE_BYTES))
     buckets = max(32, int(total // SHARE_BYTES))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    keyed = docs.select(
-        F.pmod(key.bitwiseXOR(F.shiftrightunsigned(key, 17)), F.lit(slices)).cast("long").alias("key"),
+    rows = docs.select(
         key.alias("__d"), F.col(text_col).cast("string").alias("__t"), F.col(id_col).alias("__id"),
         *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
-    texts = keyed.select("__d", "__t")
-    runs = texts.mapInArrow(_emit(sym, width, buckets, slices), BLOBS)
-    settled = stage(runs.groupBy("key").applyInArrow(_grouped(_first_texts(slices)), BLOBS))
+    own = F.col("__d")
+    if keyed:
+        rows, own = stage(rows.withColumn("__r", F.monotonically_increasing_id())), F.col("__r")
+    by_key = rows.withColumn("__r", own).withColumn(
+        "key", F.pmod(own.bitwiseXOR(F.shiftrightunsigned(own, 17)), F.lit(slices)).cast("long"))
+    texts = rows.select("__d", "__t", *["__r"] * keyed)
+    runs = texts.mapInArrow(_emit(sym, width, buckets, slices, keyed), BLOBS)
+    settled = stage(runs.groupBy("key").applyInArrow(_grouped(_first_texts(slices, keyed)), BLOBS))
     drop_shuffles(docs.sparkSession)
-    by_slice = keyed.groupBy("key")  # the same exchange serves both steps that read the texts
-    stretches = by_slice.cogroup(settled.groupBy("key")).applyInArrow(_cogrouped(_send_open(sym, width, buckets)), BLOBS)
-    solved = stretches.groupBy("key").applyInArrow(_grouped(_solve_open(sym, width, slices, solve)), BLOBS)
+    by_slice = by_key.groupBy("key")  # the same exchange serves both steps that read the texts
+    stretches = by_slice.cogroup(settled.groupBy("key")).applyInArrow(
+        _cogrouped(_send_open(sym, width, buckets, keyed)), BLOBS)
+    solved = stretches.groupBy("key").applyInArrow(_grouped(_solve_open(sym, width, slices, solve, keyed)), BLOBS)
 
     result = StructType.fromDDL(RESULT)
     schema = StructType([docs.schema[id_col], *[docs.schema[c] for c in carry], *result.fields])
     return by_slice.cogroup(settled.unionByName(solved).groupBy("key")).applyInArrow(
-        _cogrouped(_removed(sym, width, carry, to_arrow_schema(schema))), schema)
+        _cogrouped(_removed(sym, width, carry, to_arrow_schema(schema), keyed)), schema)
