@@ -73,6 +73,17 @@ def test_nulls_and_clashing_columns_pass_all_stages(spark):
     assert {r.doc_id for r in docs.collect()} == {1, 2, None, 3}
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    rows = [(1, text("a")), (2, text("b")), (2, text("b")), (None, text("c")), (None, text("c") + " more"),
+            (None, text("a")), (3, text("a")), (3, text("d")), (None, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = [(r.doc_id, (r.text or "")[:3]) for r in cp.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(left, key=repr) == sorted([(1, "aw0"), (2, "bw0"), (None, "cw0"), (3, "dw0"), (None, ""), (4, ""),
+                                             (None, "")], key=repr)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
