@@ -87,3 +87,13 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted([(3, 3, 3), (3, 3, 3), (None, 3, 3), (None, 0, None), (1, 1, 1), (2, 1, 1), (7, 0, 7)],
                          key=repr)
     assert nj.ngram_join(frame(spark, []).limit(0)).count() == 0
+
+
+def test_hot_tokens_are_a_share_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(nj, "FLUSH_BYTES", 4_000)
+    group = lambda k: " ".join(f"g{k}w{j}" for j in range(8))
+    rows = [(k, f"{group(k)} own{k}x{i} of the same line in every text") for k in range(120) for i in range(20)]
+    texts = spark.createDataFrame(rows, "k long, __t string").repartitionByRange(4, "k")
+    hot = nj.hot_tokens_of(texts, 5, len(rows))
+    # Each batch holds a few groups only, whose tokens are frequent there; only the line's are so in all texts.
+    assert len(hot) == 3

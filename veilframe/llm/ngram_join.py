@@ -1,8 +1,7 @@
 """N-gram Jaccard join with a token-group matrix.
 
 A text is the set of its shingles (``shingle`` words, lower case). Equal sets are one node. Candidates share a token of
-their prefixes: tokens are ordered by hash, those in more than ``HOT_SHARE`` of the texts of some batch last, and a
-set's first quarter must meet the first seventh of a smaller partner's. Then:
+their prefixes: tokens are ordered by hash, those in ``HOT_SHARE`` of all texts last, and a set's first quarter must meet the first seventh of a smaller partner's. Then:
 
 1. Short postings give their pairs; in a long one every node is paired with the least one. Pairs pass the bitmap bound
    below and are verified on the whole sets. Nodes linked so far form groups of similar documents.
@@ -35,7 +34,8 @@ from veilframe.llm.repeats import (
 )
 from veilframe.plans.staging import BROADCAST_BYTES, stage
 
-# There are at most (mean shingles per text) / HOT_SHARE hot tokens; they only set the order, never the result.
+# A hot token is in this share of all texts at least, so there are at most (mean shingles per text) / HOT_SHARE of them,
+# however many texts there are and wherever they lie. They only set the order, never the result.
 HOT_SHARE = 1 / 100
 HOT_LEAST = 16
 BITS = 2048
@@ -75,12 +75,14 @@ def _nodes(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return n, R.mix(sums[at + n] - sums[at] + n.astype(np.uint64)).view(np.int64)
 
 
-def _hot_tokens(shingle: int):
+def _hot_counts(shingle: int):
+    """Tokens in the hot share of a batch, with their number of texts there."""
+
     def count(batches):
         def flush(tokens, texts):
             found, n = np.unique(np.concatenate(tokens), return_counts=True)
             keep = n >= max(HOT_LEAST, HOT_SHARE * texts)
-            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64))], ["t"])
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], ["t", "n"])
 
         tokens, texts, size = [], 0, 0
         for b in batches:
@@ -97,6 +99,17 @@ def _hot_tokens(shingle: int):
     return count
 
 
+def hot_tokens_of(texts: DataFrame, shingle: int, n_texts: int) -> np.ndarray:
+    """Tokens whose batch counts come to the hot share of all texts.
+
+    A batch leaves out what is not hot there: less than the hot share of its texts, or ``HOT_LEAST``. So a token of
+    little more than the hot share may be missed, one of less never comes in.
+    """
+    found = texts.select("__t").mapInArrow(_hot_counts(shingle), "t long, n long").groupBy("t").agg(
+        F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * n_texts))
+    return np.array([r.t for r in found.select("t").collect()], np.int64)
+
+
 def _ceil_share(n: np.ndarray, up: int, down: int) -> np.ndarray:
     return -(-n * up // down)
 
@@ -380,13 +393,13 @@ def ngram_join(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str
     component is the id's least. Other columns are not read.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    total, n_texts = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
+    total = total or 0
     slices = _next_prime(max(31, total // SHARE_BYTES))
     buckets = max(32, int(total // SHARE_BYTES))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     texts = docs.select(key.alias("__d"), F.col(text_col).cast("string").alias("__t"))
-    hot = texts.select("__t").mapInArrow(_hot_tokens(shingle), "t long").distinct().collect()
-    hot_tokens = spark.sparkContext.broadcast(np.array([r.t for r in hot], np.int64).tobytes())
+    hot_tokens = spark.sparkContext.broadcast(hot_tokens_of(texts, shingle, n_texts).tobytes())
 
     found = stage(texts.mapInArrow(_emit(shingle, percent, buckets, slices, hot_tokens), "key long, blob binary")
                   .groupBy("key").applyInArrow(_postings(percent), "kind int, blob binary"))
