@@ -11,6 +11,7 @@ from veilframe.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    whitening,
 )
 from veilframe.llm.oracles import ORACLES
 
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_lm_score": lm_score.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_whitening": whitening.query,
 }
 __all__ = ["ORACLES", "QUERIES"]
