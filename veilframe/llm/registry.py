@@ -6,9 +6,11 @@ from veilframe.llm import (
     embedding_dedup,
     lm_score,
     ngram_join,
+    packing,
     sharding,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
     toxicity,
     url_filter,
     whitening,
@@ -27,5 +29,7 @@ QUERIES = {
     "op9_lm_score": lm_score.query,
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_whitening": whitening.query,
+    "op12_token_alignment": token_alignment.query,
+    "op13_packing": packing.query,
 }
 __all__ = ["ORACLES", "QUERIES"]
