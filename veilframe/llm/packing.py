@@ -9,6 +9,7 @@ which need no padding.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
@@ -23,7 +24,8 @@ from tokenizers import Tokenizer
 BLOCK_TOKENS = 1 << 22
 BATCH_CHARS = 1 << 20
 ROOM_SHARE = 64  # a window may end with a room of one of so many parts
-MEMO_CHUNKS = 1 << 19
+MEMO_CHUNKS = 1 << 18  # in each half
+JOINED = 64  # chunks encoded in one text
 MEMO_CHARS = 64
 RESULTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
@@ -140,39 +142,54 @@ class Ids:
     """Token ids as packed 32-bit integers.
 
     ``apart`` says that the tokenizer drops spaces and that nothing it does reaches across one. Then the runs between
-    spaces are encoded one by one, and what they became is kept, ``MEMO_CHUNKS`` of them at most.
+    spaces are encoded one by one, and what they became is kept for a while, in two halves of ``MEMO_CHUNKS``. New ones are
+    put in one text with a special token between them, if there is one that may stand anywhere.
     """
 
     def __init__(self, path: str, apart: bool):
         self.tokenizer, self.apart = Tokenizer.from_file(path), apart
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        plain = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
+                 if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between, self.mark = plain[0] if plain else (None, "")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _together(self, chunks: list[str]) -> dict[str, bytes]:
+        plain = [c for c in chunks if self.mark[:1] not in c] if self.mark else []
+        out = {}
+        if plain:
+            texts = [self.mark.join(plain[i:i + JOINED]) + self.mark for i in range(0, len(plain), JOINED)]
+            ids = np.frombuffer(b"".join(self._encoded(texts)), "<u4")
+            ends = (4 * np.flatnonzero(ids == self.between)).tolist()
+            raw = ids.tobytes()
+            out = {c: raw[i:j] for c, i, j in zip(plain, [0, *(e + 4 for e in ends)], ends, strict=False)}
+        others = [c for c in chunks if c not in out]
+        return out | dict(zip(others, self._encoded(others)))
 
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
             return self._encoded(texts)
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MEMO_CHUNKS:
-            self.known = {"": b""}
-        fresh = list(set().union(*cut) - self.known.keys())
-        encoded: dict[str, bytes] = {}
+        used = set().union(*cut)
+        young, old = self.young, self.old
+        known = {c: young[c] if c in young else old[c] for c in used if c in young or c in old}
+        fresh = list(used - known.keys())
         at = 0
         while at < len(fresh):
-            ends = list(accumulate((len(c) for c in fresh[at:at + 4096]), initial=0))
-            n = max(1, sum(e <= BATCH_CHARS for e in ends) - 1)
-            encoded |= zip(fresh[at:at + n], self._encoded(fresh[at:at + n]))
+            n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, fresh[at:at + 4096]))))
+            known |= self._together(fresh[at:at + n])
             at += n
-        long = {c: i for c, i in encoded.items() if len(c) > MEMO_CHARS}
-        self.known |= {c: i for c, i in encoded.items() if len(c) <= MEMO_CHARS}
-        if long:
-            find = lambda c: long[c] if c in long else self.known[c]
-        else:
-            find = self.known.__getitem__
+        # What was used last stays; what was not used for a while goes.
+        young |= {c: i for c, i in known.items() if len(c) <= MEMO_CHARS}
+        if len(young) > MEMO_CHUNKS:
+            self.old, self.young = young, {}
+        find = known.__getitem__
         return [b"".join(map(find, chunks)) for chunks in cut]
 
 
