@@ -14,8 +14,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from tokenizers import Tokenizer
 
 from veilframe.plans.staging import shared_folder, stage
 
-BATCH_CHARS = 1 << 20
-MEMO_CHUNKS = 1 << 18
+BATCH_CHARS = 1 << 19
+MEMO_CHUNKS = 1 << 17  # in each of two halves
+JOINED = 64  # chunks encoded in one text
 MEMO_CHARS = 64
 LINKS = 1 << 21  # expanded at a time
 WIDE = 1 << 14  # links of a group from which equal tokens are taken together first
@@ -66,7 +68,10 @@ class Sides:
         # Names of the ids in a group: followed by another of their side, or by none.
         self.names = [f"{i}{mark}" for i in range(size) for mark in (",", "|")] + [
             f"{i}{mark}" for i in range(len(self.b_bytes)) for mark in (",", ";")]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
+        self.a_starts, self.b_starts = (np.cumsum(n) - n for n in (self.a_lengths, self.b_lengths))
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -79,39 +84,63 @@ class Sides:
             chunks[-2:] = [chunks[-2] + " "]
         return chunks
 
-    def _encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Packed ids of both sides; none where the bytes of a side are not those of the chunk, which begins with a
-        space."""
-        out: list[tuple[bytes, bytes] | None] = []
+    def _each(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         first = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
         second = self.b.encode(chunks, num_threads=1)
-        for c, a, b in zip(chunks, first, second):
-            a, raw = a.ids, (" " + c).encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
-        return out
+        return [(array("I", a.ids).tobytes(), array("I", b).tobytes()) for a, b in zip(first, second)]
+
+    def _together(self, chunks: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """Ids of chunks that end in something else than white space: many are put in one text and cut apart where their
+        bytes end; none if a side has no token end there."""
+        texts = [" ".join(chunks[i:i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        bounds = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode())) for c in chunks])
+        sides = []
+        for found, lengths in (
+                ([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
+                 self.a_lengths), (self.b.encode(texts, num_threads=1), self.b_lengths)):
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
+            ends = np.cumsum(lengths[ids])
+            at = np.searchsorted(ends, bounds)
+            if not len(ends) or at[-1] != len(ends) - 1 or (ends[at] != bounds).any():
+                return None
+            cuts, raw = [0, *(4 * (at + 1)).tolist()], ids.astype("<u4").tobytes()
+            sides.append([raw[i:j] for i, j in zip(cuts, cuts[1:])])
+        return list(zip(*sides))
+
+    def _encoded(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        plain = [c for c in chunks if c and not c[-1].isspace() and "\u2581" not in c]
+        found = dict(zip(plain, self._together(plain) or self._each(plain))) if plain else {}
+        others = [c for c in chunks if c not in found]
+        return found | dict(zip(others, self._each(others))) if others else found
 
     def ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of both sides for each text, both empty where the text has no tokens."""
+        """Packed ids of both sides for each text."""
         cut = [self._cut(t) for t in texts]
-        if len(self.known) > MEMO_CHUNKS:
-            self.known = {}
-        fresh = list(set().union(*cut) - self.known.keys())
-        found: dict[str, tuple[bytes, bytes] | None] = {}
+        used = set().union(*cut)
+        known = {c: v for c in used if (v := self.young.get(c) or self.old.get(c))}
+        fresh = list(used - known.keys())
         at = 0
         while at < len(fresh):
             n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, fresh[at:at + 4096]))))
-            found |= zip(fresh[at:at + n], self._encoded(fresh[at:at + n]))
+            known |= self._encoded(fresh[at:at + n])
             at += n
-        long = {c: i for c, i in found.items() if len(c) > MEMO_CHARS}
-        self.known |= {c: i for c, i in found.items() if len(c) <= MEMO_CHARS}
+        # What was used last stays; what was not used for a while goes.
+        self.young |= {c: v for c, v in known.items() if len(c) <= MEMO_CHARS}
+        if len(self.young) > MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
         out = []
         for chunks in cut:
-            pairs = [long[c] if c in long else self.known[c] for c in chunks] if long else \
-                list(map(self.known.__getitem__, chunks))
-            out.append((b"", b"") if None in pairs else (b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+            pairs = list(map(known.__getitem__, chunks))
+            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
         return out
 
+    def spelled(self, ids: np.ndarray, side: str) -> np.ndarray:
+        """The bytes of the ids, one after the other."""
+        table, starts, lengths = (self.a_flat, self.a_starts, self.a_lengths) if side == "a" else \
+            (self.b_flat, self.b_starts, self.b_lengths)
+        n = lengths[ids]
+        return table[np.arange(n.sum()) + np.repeat(starts[ids] - np.cumsum(n) + n, n)]
+
 
 def gallop(keys: np.ndarray, guess: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each key the first place in the rising ``ends`` that is not less, found from its guess by exponential and then
@@ -205,8 +234,25 @@ def _align(a_path: str, b_path: str, n_kept: int, names: list[str]):
     return align
 
 
+def _faithful(sides: Sides, texts: list[str], found: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The ids of the texts whose bytes both sides give back, nothing for the others."""
+    raw = [(" " + t).encode() if t else b"" for t in texts]
+    good = np.ones(len(texts), bool)
+    for k, side in enumerate("ab"):
+        ids = [np.frombuffer(f[k], "<u4") for f in found]
+        lengths = sides.a_lengths if side == "a" else sides.b_lengths
+        good &= np.array([int(lengths[i].sum()) == len(r) for i, r in zip(ids, raw)], bool)
+        at = np.flatnonzero(good)
+        if not len(at):
+            break
+        want = np.frombuffer(b"".join([raw[i] for i in at]), np.uint8)
+        differs = _starts(sides.spelled(np.concatenate([ids[i] for i in at]), side) != want)
+        good[at] = np.diff(differs[_starts([len(raw[i]) for i in at])]) == 0
+    return [f if g else (b"", b"") for f, g in zip(found, good)]
+
+
 def _aligned(sides: Sides, texts: list[str], kept: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    found = sides.ids(texts)
+    found = _faithful(sides, texts, sides.ids(texts))
     a_n, b_n = (np.array([len(f[k]) // 4 for f in found], np.int64) for k in (0, 1))
     a, b = (np.frombuffer(b"".join([f[k] for f in found]), "<u4").astype(np.int64) for k in (0, 1))
     a_from, b_from = _starts(a_n), _starts(b_n)
