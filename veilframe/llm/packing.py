@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, filterfalse
 from typing import NamedTuple
 
 import numpy as np
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BLOCK_TOKENS = 1 << 22
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 ROOM_SHARE = 64  # a window may end with a room of one of so many parts
-MEMO_CHUNKS = 1 << 18  # in each half
+MEMO_CHUNKS = 1 << 19  # in each half
 JOINED = 64  # chunks encoded in one text
 MEMO_CHARS = 64
 RESULTS = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
@@ -153,9 +153,21 @@ class Ids:
         plain = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                  if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.between, self.mark = plain[0] if plain else (None, "")
+        self.lower = '"Lowercase"' in self.tokenizer.to_str() and bool(self.mark)
+        self.signs = self._signs() if apart else {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _signs(self) -> dict[str, bytes]:
+        """Ids of the ASCII signs that are cut from a letter before them, whatever the letter."""
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        signs = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()]
+        letters = {c: ids(c) for c in map(chr, range(0x61, 0x7B))}
+        return {s: array("I", alone).tobytes() for s in signs if (alone := ids(s)) and all(
+            ids(c + s) == before + alone for c, before in letters.items())}
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
@@ -175,22 +187,28 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
             return self._encoded(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*cut)
-        young, old = self.young, self.old
-        known = {c: young[c] if c in young else old[c] for c in used if c in young or c in old}
-        fresh = list(used - known.keys())
+        if len(self.young) > MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
+        young = self.young
+        cut = [(t.lower() if self.lower and t.isascii() and self.mark[:1] not in t else t).replace("\n", " ").split(" ")
+               for t in texts]
+        missing = set(filterfalse(young.__contains__, chain.from_iterable(cut)))
+        # What was used before stays; a word with a sign behind it is made of both.
+        young |= {c: self.old[c] for c in missing if c in self.old}
+        fresh = missing.difference(self.old)
+        signed = [c for c in fresh if c[-1:] in self.signs and c[-2:-1].isascii() and c[-2:-1].isalpha()]
+        words = list(fresh.difference(signed) | {c[:-1] for c in signed if c[:-1] not in young})
         at = 0
-        while at < len(fresh):
-            n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, fresh[at:at + 4096]))))
-            known |= self._together(fresh[at:at + n])
+        while at < len(words):
+            n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, words[at:at + 4096]))))
+            young |= self._together(words[at:at + n])
             at += n
-        # What was used last stays; what was not used for a while goes.
-        young |= {c: i for c, i in known.items() if len(c) <= MEMO_CHARS}
-        if len(young) > MEMO_CHUNKS:
-            self.old, self.young = young, {}
-        find = known.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in cut]
+        young |= {c: young[c[:-1]] + self.signs[c[-1]] for c in signed}
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
+        for c in words + signed:
+            if len(c) > MEMO_CHARS:
+                young.pop(c, None)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -247,7 +265,7 @@ def _packed(path: str, size: int, end: int | None, apart: bool, n_kept: int, nam
             texts = [t or "" for t in b.column(n_kept).to_pylist()]
             at = 0
             while at < len(texts):
-                n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, texts[at:at + 1024]))))
+                n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, texts[at:at + 4096]))))
                 for found in encoder.of(texts[at:at + n]):
                     found += ending
                     count, doc = len(found) // 4, len(ids)
