@@ -16,7 +16,7 @@ import re
 import uuid
 from array import array
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from tokenizers import Tokenizer
 
 from veilframe.plans.staging import shared_folder, stage
 
-BATCH_CHARS = 1 << 19
-MEMO_CHUNKS = 1 << 17  # in each of two halves
+BATCH_CHARS = 1 << 18
+MEMO_CHUNKS = 1 << 18  # in each of two halves
 JOINED = 64  # chunks encoded in one text
 MEMO_CHARS = 64
 LINKS = 1 << 21  # expanded at a time
@@ -70,6 +70,7 @@ class Sides:
             f"{i}{mark}" for i in range(len(self.b_bytes)) for mark in (",", ";")]
         self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
         self.a_starts, self.b_starts = (np.cumsum(n) - n for n in (self.a_lengths, self.b_lengths))
+        self.marks = self._marks()
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
 
@@ -113,25 +114,45 @@ class Sides:
         others = [c for c in chunks if c not in found]
         return found | dict(zip(others, self._each(others))) if others else found
 
+    def _marks(self) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of the marks that can be taken off the end of a word: ASCII signs that no token of either side joins to a
+        letter before them."""
+        joined = {b for t in (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
+                  for a, b in zip(t, t[1:]) if a.isalpha()}
+        out = {}
+        for mark in map(chr, range(0x21, 0x7F)):
+            a, b = self.a.token_to_id(mark), self.b.piece_to_id(mark)
+            if not mark.isalnum() and mark not in joined and a is not None and self.b.id_to_piece(b) == mark:
+                out[mark] = array("I", [a]).tobytes(), array("I", [b]).tobytes()
+        return out
+
     def ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Packed ids of both sides for each text."""
+        if len(self.young) > MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
+        young = self.young
         cut = [self._cut(t) for t in texts]
-        used = set().union(*cut)
-        known = {c: v for c in used if (v := self.young.get(c) or self.old.get(c))}
-        fresh = list(used - known.keys())
+        missing = set(filterfalse(young.__contains__, chain.from_iterable(cut)))
+        # What was used before stays; a word with a mark behind it is made of both. The byte-level side cuts between a
+        # letter and a sign in any case.
+        young |= {c: self.old[c] for c in missing if c in self.old}
+        fresh = missing.difference(self.old)
+        marked = [c for c in fresh if c[-1:] in self.marks and c[-2:-1].isalpha()]
+        words = list(fresh.difference(marked) | {c[:-1] for c in marked if c[:-1] not in young})
         at = 0
-        while at < len(fresh):
-            n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, fresh[at:at + 4096]))))
-            known |= self._encoded(fresh[at:at + n])
+        while at < len(words):
+            n = max(1, sum(e <= BATCH_CHARS for e in accumulate(map(len, words[at:at + 4096]))))
+            young |= self._encoded(words[at:at + n])
             at += n
-        # What was used last stays; what was not used for a while goes.
-        self.young |= {c: v for c, v in known.items() if len(c) <= MEMO_CHARS}
-        if len(self.young) > MEMO_CHUNKS:
-            self.old, self.young = self.young, {}
-        out = []
+        for c in marked:
+            (a, b), (a_mark, b_mark) = young[c[:-1]], self.marks[c[-1]]
+            young[c] = a + a_mark, b + b_mark
+        out, find = [], young.__getitem__
         for chunks in cut:
-            pairs = list(map(known.__getitem__, chunks))
-            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+            sides = list(zip(*map(find, chunks)))
+            out.append((b"".join(sides[0]), b"".join(sides[1])) if sides else (b"", b""))
+        for c in chain(marked, (c for c in words if len(c) > MEMO_CHARS)):
+            young.pop(c, None)
         return out
 
     def spelled(self, ids: np.ndarray, side: str) -> np.ndarray:
@@ -351,76 +372,77 @@ def _pieces(batches):
             at += n
 
 
-def _pair_counts(batches):
-    keys, counts, held = [], [], 0
-
-    def written():
-        unique, n = _counted(keys, counts)
-        for lo in range(0, len(unique), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(unique[lo:lo + (1 << 16)]), pa.array(n[lo:lo + (1 << 16)])],
-                                             ["pair", "n"])
-
-    for b in _pieces(batches):
-        # A document counts once for a pair, however many parts its links come in.
-        in_docs = np.zeros(0, np.int64)
-        docs = np.zeros(0, np.int64)
-        for row, x, y, _ in _links(b):
-            pair = x << 32 | y
-            order = np.lexsort((pair, row))
-            row, pair = row[order], pair[order]
-            new = np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])] if len(row) else np.zeros(0, bool)
-            docs, in_docs = np.concatenate([docs, row[new]]), np.concatenate([in_docs, pair[new]])
-        order = np.lexsort((in_docs, docs))
-        docs, in_docs = docs[order], in_docs[order]
-        if len(docs):
-            in_docs = in_docs[np.r_[True, (docs[1:] != docs[:-1]) | (in_docs[1:] != in_docs[:-1])]]
-            unique, n = np.unique(in_docs, return_counts=True)
+def _linked(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pair, times) of the linked pairs of a batch, each pair once a row, in order."""
+    held, times = [], []
+    for row, x, y, n in _links(batch):
+        keys = row << 2 * bits | x << bits | y
+        order = None if (n == 1).all() else np.argsort(keys, kind="stable")
+        keys, n = (np.sort(keys), None) if order is None else (keys[order], n[order])
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        held.append(keys[first])
+        times.append(np.diff(np.r_[first, len(keys)]) if n is None else np.add.reduceat(n, first) if len(first) else first)
+    keys, times = (held[0], times[0]) if len(held) == 1 else _counted(held, times) if held else (np.zeros(0, np.int64),) * 2
+    return keys >> 2 * bits, keys & (1 << 2 * bits) - 1, times
+
+
+def _pair_counts(bits: int):
+    def count(batches):
+        keys, counts, held = [], [], 0
+
+        def written():
+            unique, n = _counted(keys, counts)
+            for lo in range(0, len(unique), 1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unique[lo:lo + (1 << 16)]), pa.array(n[lo:lo + (1 << 16)])], ["pair", "n"])
+
+        for b in _pieces(batches):
+            # A document counts once for a pair, however often it links it.
+            unique, n = np.unique(_linked(b, bits)[1], return_counts=True)
             keys.append(unique)
             counts.append(n)
             held += len(unique)
-        if held > 1 << 22:
-            unique, n = _counted(keys, counts)
-            if len(unique) > 1 << 21:
-                yield from written()
-                keys, counts, held = [], [], 0
-            else:
-                keys, counts, held = [unique], [n], len(unique)
-    if keys:
-        yield from written()
+            if held > 1 << 22:
+                unique, n = _counted(keys, counts)
+                if len(unique) > 1 << 21:
+                    yield from written()
+                    keys, counts, held = [], [], 0
+                else:
+                    keys, counts, held = [unique], [n], len(unique)
+        if keys:
+            yield from written()
+
+    return count
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """pair (a's id times 2^32 plus b's), n (documents that hold it linked) and best (no pair of the same a has more),
+def pair_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """pair (a's id, then b's in the last ``bits`` bits), n (documents that hold it linked) and best (no pair of the same a has more),
     from what ``aligned`` returns."""
-    counts = stage(rows.select("a", "b", "a_last", "b_last", "n_a").mapInArrow(_pair_counts, "pair long, n long").groupBy(
+    counts = stage(rows.select("a", "b", "a_last", "b_last", "n_a").mapInArrow(_pair_counts(bits), "pair long, n long").groupBy(
         "pair").agg(F.sum("n").alias("n")))
-    most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))  # one row for each id of a
-    joined = counts.join(F.broadcast(most), F.shiftright("pair", 32) == F.col("a"))
+    most = counts.groupBy(F.shiftright("pair", bits).alias("a")).agg(F.max("n").alias("most"))  # one row for each id of a
+    joined = counts.join(F.broadcast(most), F.shiftright("pair", bits) == F.col("a"))
     return stage(joined.select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
 
 
-def _scored(sent, n_kept: int, names: list[str]):
+def _scored(sent, bits: int, names: list[str]):
     def score(batches):
         keys, counts, best = sent.value
         for b in _pieces(batches):
+            row, pair, times = _linked(b, bits)
+            at = np.searchsorted(keys, pair)
+            at[at == len(keys)] = 0
+            known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
             sums, bests = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            rare = []
-            for row, x, y, times in _links(b):
-                pair = x << 32 | y
-                at = np.searchsorted(keys, pair)
-                at[at == len(keys)] = 0
-                known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-                np.add.at(sums, row[known], counts[at[known]] * times[known])
-                np.add.at(bests, row[known], best[at[known]] * times[known])
-                if not known.all():
-                    rare.append((row[~known], pair[~known], times[~known]))
+            np.add.at(sums, row[known], counts[at[known]] * times[known])
+            np.add.at(bests, row[known], best[at[known]] * times[known])
             whole = [b.column(b.schema.get_field_index(c)) for c in names]
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*whole, pa.array(bests), pa.array(sums), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
                 [*names, "n_best", "count_sum", "pair", "times"])
-            if rare:
-                row, pair, times = (np.concatenate(c) for c in zip(*rare))
+            if not known.all():
+                row, pair, times = row[~known], pair[~known], times[~known]
                 for lo in range(0, len(row), 1 << 16):
                     part = slice(lo, lo + (1 << 16))
                     m = len(row[part])
@@ -454,7 +476,10 @@ def link_scores(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     found.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(found.schema).parquet(path)
-    counts = pair_counts(rows)
+    # Ids of both sides fit so many bits, and a batch's rows fit the rest of a long.
+    bits = max(Tokenizer.from_file(a_path).get_vocab_size(),
+               sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()).bit_length()
+    counts = pair_counts(rows, bits)
     # The least size class of counts from which on at most ``frequent`` pairs are left, sixteen classes a doubling.
     size = F.floor(F.log2("n") * 16).cast("int")
     least, total = None, 0
@@ -470,7 +495,7 @@ def link_scores(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
     names = ["row", *kept, *RESULTS[:4], "groups_sha256"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
     scored = stage(rows.select("a", "b", "a_last", "b_last", *names).mapInArrow(
-        _scored(sent, len(kept), names), f"{fields}, n_best long, count_sum long, pair long, times long"))
+        _scored(sent, bits, names), f"{fields}, n_best long, count_sum long, pair long, times long"))
     rest = scored.filter(F.col("pair").isNotNull()).select("row", "pair", "times").join(counts, "pair").groupBy(
         "row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"),
                    F.sum(F.col("times") * F.col("n")).alias("more_sum"))
