@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import CLOSE, OPEN, REPLACEMENT, find_spans, let, running_sum
+from veilframe.functions.spans import CLOSE, OPEN, REPLACEMENT, bracket, let, running_sum
 
 # Cyrillic letters and the Latin letters they are folded to, position by position.
 CYRILLIC_LOOKALIKES = "аеорсхукАВЕКМНОРСТХ"
@@ -19,7 +19,7 @@ CYRILLIC = "[\\u0400-\\u04ff]"
 # White space beyond the regex engine's ASCII \s that survives normalisation.
 WIDE_SPACE = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-SHIFT_TYPE = "array<struct<start:int,end:int>>"
+SHIFT_TYPE = "array<struct<start:int,end:int,source:int>>"
 
 
 @lru_cache(maxsize=1)
@@ -90,44 +90,57 @@ def same_length_form(text: Column) -> Column:
     return F.translate(text, src + OPEN + CLOSE, dst + REPLACEMENT * 2)
 
 
-def _resized_lookup() -> Column:
-    """A constant map; written as one literal, folded to a map by the optimizer."""
-    pairs = OPEN.join(f"{char}{CLOSE}{form}" for char, form in _compat_tables()[2].items())
-    return F.str_to_map(F.lit(pairs), F.lit(OPEN), F.lit(CLOSE))
+def _resized_form(char: Column) -> Column:
+    """Normal form of one character of :func:`resized_class`. ``translate`` finds its number by hash (as a private-use
+    character), and the number is a place in a constant array; a map would be searched from its start."""
+    forms = _compat_tables()[2]
+    chars = sorted(forms)
+    numbers = "".join(chr(0xE000 + i) for i in range(len(chars)))
+    table = F.split(F.lit(OPEN.join(forms[c] for c in chars)), OPEN)
+    return F.get(table, F.ascii(F.translate(char, "".join(chars), numbers)) - 0xE000)
 
 
 def resize(text: Column) -> Column:
     """Expand or delete the remaining characters of a :func:`same_length_form` text.
 
-    Gives ``STRUCT<text, shifts>``; each shift is the span of one replacement in the new text.
+    Gives ``STRUCT<text, shifts>``; each shift is the span of one replacement in the new text and the offset of the
+    character it stands for. The text is cut behind each such character, and the pieces are joined again: each is
+    looked at once, however many there are.
     """
-    def build(hits: Column) -> Column:
-        news = F.transform(hits, lambda h: F.try_element_at(_resized_lookup(), h["match"]))
+    def build(pieces: Column) -> Column:
+        parts = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(
+            F.substring_index(p, OPEN, 1).alias("gap"), _resized_form(F.substring_index(p, OPEN, -1)).alias("new")))
+
+        def assemble(parts: Column) -> Column:
+            ends = running_sum(F.transform(parts, lambda x: F.length(x["gap"]) + F.length(x["new"])))
+            sources = running_sum(F.transform(parts, lambda x: F.length(x["gap"]) + 1))
+            spans = F.zip_with(parts, ends, lambda x, e: F.struct((e - F.length(x["new"])).alias("start"), e.alias("end")))
+            shifts = F.zip_with(spans, sources, lambda s, at: F.struct(s["start"], s["end"], (at - 1).alias("source")))
+            body = F.concat(F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], x["new"])), ""),
+                            F.element_at(pieces, -1))
+            return F.struct(body.alias("text"), shifts.alias("shifts"))
 
-        def assemble(new: Column) -> Column:
-            ends = running_sum(F.transform(new, lambda n: F.length(n) - 1))
-            shifts = F.zip_with(F.zip_with(hits, ends, lambda h, e: h["end"] + e), new, lambda end, n: F.struct(
-                (end - F.length(n)).alias("start"), end.alias("end")))
+        return let(parts, assemble)
 
-            def piece(h: Column, i: Column) -> Column:
-                prev = F.when(i > 0, F.element_at(hits, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
-                return F.concat(F.substring(text, prev + 1, h["start"] - prev), F.element_at(new, i + 1))
+    return let(bracket(text, resized_class()), build)
 
-            last = F.element_at(hits, -1)["end"]
-            body = F.concat(F.array_join(F.transform(hits, piece), ""), F.substring(text, last + 1, F.length(text)))
-            return F.struct(body.alias("text"), shifts.alias("shifts"))
 
-        return let(news, assemble)
+def source_offset(shifts: Column, pos: Column) -> Column:
+    """Offset in the source text of the character at ``pos`` of a normalised text: a binary search for the last shift that
+    begins there or before."""
+    def narrow(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        before = (acc["low"] < acc["high"]) & (F.get(shifts, middle)["start"] <= pos)
+        return F.struct(F.when(before, middle + 1).otherwise(acc["low"]).alias("low"),
+                        F.when(before, acc["high"]).otherwise(middle).alias("high"))
 
-    return let(find_spans(text, resized_class(), clean=True), build)
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(shifts) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(shifts).alias("high"))
 
+    def moved(s: Column) -> Column:
+        return F.when(s.isNull(), pos).when(pos < s["end"], s["source"]).otherwise(s["source"] + 1 + pos - s["end"])
 
-def source_offset(shifts: Column, pos: Column) -> Column:
-    """Offset in the source text of the character at ``pos`` of a normalised text."""
-    return F.aggregate(shifts, pos, lambda acc, s: acc - (
-        F.when(s["end"] <= pos, s["end"] - s["start"] - 1)
-        .when(s["start"] <= pos, pos - s["start"])
-        .otherwise(F.lit(0))))
+    return let(F.get(shifts, F.aggregate(halvings, start, narrow, lambda acc: acc["low"]) - 1), moved)
 
 
 def normalize(text: Column) -> Column:

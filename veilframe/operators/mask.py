@@ -22,10 +22,14 @@ from veilframe.plans.staging import (
     block_offsets,
     in_blocks,
     lookup,
+    repeatable,
+    settled,
     stage,
+    with_file_place,
 )
 
 UNKNOWN_SESSION = "unknown"
+PLACE_BYTES = 256  # of a row's file and position
 VAULT_SCHEMA = "session_id string, seq bigint, original string, placeholder string, type string"
 
 
@@ -63,16 +67,25 @@ def _known_session(session: str) -> Column:
     return F.coalesce(F.col(session).cast("string"), F.lit(UNKNOWN_SESSION))
 
 
+def counters_of(vault: DataFrame) -> DataFrame:
+    """``session_id, type, issued, last`` of a vault: the highest number and place of each session and type."""
+    token = parse_placeholder(F.col("placeholder"))
+    return vault.groupBy("session_id", token["type"].alias("type")).agg(
+        F.max(token["num"]).alias("issued"), F.max("seq").alias("last"))
+
+
 def new_entries(occurrences: DataFrame, literals: DataFrame, order: list[str], vault: DataFrame | None,
-                style: str) -> DataFrame:
+                style: str, counters: DataFrame | None = None) -> DataFrame:
     """Vault entries for values seen for the first time, numbered as a reader would: by document, then position.
 
     ``occurrences``: session_id, __row, order columns, start, type, value. ``literals``: session_id, __row, type, num.
     ``__row`` names the document; ``order`` columns may be null (first) or tie (by row). A number continues the
     session's highest one of its type and skips numbers of placeholder-like tokens in the document that adds the entry.
     With ``rn0`` entries of the type added by earlier documents and ``k`` the place within the document, it is
-    ``rn0 + k + max(vault, running max(literal - rn0))``.
+    ``rn0 + k + max(vault, running max(literal - rn0))``. The vault's numbers are read from its ``counters`` if given.
     """
+    if vault is not None and counters is None:
+        counters = counters_of(vault)
     order = [*order, "__row"]
     firsts = occurrences.groupBy("session_id", F.col("value").alias("original")).agg(
         F.min(F.struct(*order, "start", "type")).alias("first"))
@@ -97,11 +110,8 @@ def new_entries(occurrences: DataFrame, literals: DataFrame, order: list[str], v
     by_block = Window.partitionBy(*kind).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ranked.groupBy(*kind, "block").agg(F.max("lift").alias("lift")).select(
         *kind, "block", F.coalesce(F.max("lift").over(by_block), F.lit(0)).alias("carried"))
-    if vault is not None:
-        token = parse_placeholder(F.col("placeholder"))
-        issued = vault.select("session_id", token["type"].alias("type"), token["num"].alias("num")) \
-            .groupBy(*kind).agg(F.max("num").alias("issued"))
-        carried = carried.join(issued, kind, "left").withColumn(
+    if counters is not None:
+        carried = carried.join(counters.select(*kind, "issued"), kind, "left").withColumn(
             "carried", F.greatest("carried", F.coalesce("issued", F.lit(0)))).drop("issued")
     numbers = ranked.join(carried, [*kind, "block"]).select(
         *doc, "type", (F.col("rn0") + F.greatest("carried", "lift", F.lit(0))).alias("base"))
@@ -111,8 +121,8 @@ def new_entries(occurrences: DataFrame, literals: DataFrame, order: list[str], v
     per_doc = blocks.groupBy(*sorting, "block").agg(F.sum("added").alias("added"))
     places = per_doc.join(block_offsets(per_doc, ["session_id"], F.col("added")), ["session_id", "block"]).select(
         *doc, (F.col("offset") + F.sum("added").over(seen) - F.col("added")).alias("seq0"))
-    if vault is not None:
-        last = vault.groupBy("session_id").agg(F.max("seq").alias("last"))
+    if counters is not None:
+        last = counters.groupBy("session_id").agg(F.max("last").alias("last"))
         places = places.join(last, "session_id", "left").withColumn(
             "seq0", F.col("seq0") + F.coalesce("last", F.lit(0))).drop("last")
 
@@ -126,37 +136,58 @@ def new_entries(occurrences: DataFrame, literals: DataFrame, order: list[str], v
         format_placeholder(F.col("type"), F.col("base") + F.col("k"), style).alias("placeholder"), "type"))
 
 
+def _split(scanned: DataFrame, more: dict[str, Column], detections: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with detections, with the ``more`` columns; rows without any; rows that were not scanned. The scan runs once.
+
+    Rows of files are told apart by file and position: only those with detections are written down, and the others are
+    read from their files again, without a scan. Behind other sources, and where further columns come from the scan, all
+    rows are written down.
+    """
+    hit = F.size(detections) > 0
+    placed, others = with_file_place(scanned), [c for c in scanned.columns if c != detections]
+    if placed is None or not settled(placed.select(*others)):
+        base = stage(scanned.withColumns(more).withColumn("__dirty", F.coalesce(hit, F.lit(False))), partition_by="__dirty")
+        known = F.col(detections).isNotNull()
+        rest = base.filter("not __dirty")
+        return base.filter("__dirty"), rest.filter(known), rest.filter(~known)
+    kept = stage(placed.withColumns(more).filter(F.coalesce(hit, F.lit(True))))
+    place = kept.select("__file", "__place")
+    if kept.count() * PLACE_BYTES <= BROADCAST_BYTES:
+        place = F.broadcast(place)
+    none = F.array().cast(scanned.schema[detections].dataType)
+    clean = placed.select(*others, "__file", "__place").join(place, ["__file", "__place"], "left_anti")
+    return kept.filter(hit), clean.select(*others, none.alias(detections)), kept.filter(F.col(detections).isNull())
+
+
 def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame | None = None, text_col: str = "text",
          style: str = "square", detections: str = "detections", out: str = "masked",
-         small_vault: bool | None = None) -> Masked:
+         small_vault: bool | None = None, counters: DataFrame | None = None) -> Masked:
     """Replace every detection by its session's placeholder; one value has one placeholder per session.
 
     ``order`` is the order of arrival; ties are settled by the place in the input, nulls come first. A null session is
     the session ``unknown``. A text whose detections are null was not scanned: its masked text is null. A detection
-    without a placeholder is an error, never published. The scan runs once: its result is written to the shared folder,
-    split by whether a text has detections, and only texts that have some take part in joins, by a row number of their
-    own. A vault of measured small size is joined by broadcast, a larger one by value; both give the same rows.
-    ``small_vault=False`` rules the broadcast out.
+    without a placeholder is an error, never published. The scan runs once. Only texts with detections are written to the
+    shared folder (all of them where :func:`_split` says so) and take part in joins, by a row number of their own; the
+    files of the input must not change until the result is written. A vault of measured small size is joined by broadcast, a larger one by value; both give the same rows.
+    ``small_vault=False`` rules the broadcast out. ``counters`` are the vault's, if they are kept beside it.
     """
     if session in order:
         raise ValueError("the session is not part of the order within the session")
     columns = list(scanned.columns)
     ordered = [f"__o{i}" for i in range(len(order))]
-    base = stage(scanned.withColumns({
+    dirty, clean, unscanned = _split(scanned, {
         "__literals": F.when(F.size(detections) > 0, literal_numbers(F.col(text_col))),
-        "__dirty": F.coalesce(F.size(detections) > 0, F.lit(False)),
         "__row": F.monotonically_increasing_id(),
         "__session": _known_session(session),
         **{o: F.col(c) for o, c in zip(ordered, order)},
-    }), partition_by="__dirty")
-    dirty, clean = base.filter("__dirty"), base.filter("not __dirty")
+    }, detections)
     doc = [F.col("__session").alias("session_id"), "__row"]
 
     hits = dirty.select(*doc, *ordered, F.posexplode(detections).alias("__i", "d")).select(
         "session_id", "__row", *ordered, "__i", F.col("d.start").alias("start"), F.col("d.type").alias("type"),
         F.col("d.value").alias("value"))
     literals = dirty.select(*doc, F.explode("__literals").alias("p")).select("session_id", "__row", "p.type", "p.num")
-    entries = new_entries(hits, literals, ordered, vault, style)
+    entries = new_entries(hits, literals, ordered, vault, style, counters)
 
     known = entries
     if vault is not None:
@@ -168,7 +199,7 @@ def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame |
     tokens = known.groupBy(F.col("session_id").alias("__session"), F.col("original").alias("value")).agg(
         F.min_by("placeholder", F.struct("seq", "placeholder")).alias("placeholder"))
     if _sized(tokens, "__session", "value", "placeholder", small_vault):
-        maps = _session_maps(tokens, "__session", "value", "placeholder", "__map")
+        maps = stage(_session_maps(tokens, "__session", "value", "placeholder", "__map"))
         rows = dirty.join(F.broadcast(maps), "__session", "left").withColumn("__new", F.transform(
             detections, lambda d: F.try_element_at("__map", d["value"])))
     else:
@@ -182,8 +213,9 @@ def mask(scanned: DataFrame, session: str, order: list[str], vault: DataFrame |
     masked = rows.withColumn(out, let(F.col("__new"), lambda new: rewrite(
         F.col(text_col), F.col(detections), lambda d, i: F.coalesce(F.get(new, i), missing))))
     kept = [*columns, out]
-    untouched = clean.withColumn(out, F.when(F.col(detections).isNotNull(), F.col(text_col)))
-    return Masked(masked.select(*kept).unionByName(untouched.select(*kept)), entries)
+    rows = masked.select(*kept).unionByName(clean.withColumn(out, F.col(text_col)).select(*kept)).unionByName(
+        unscanned.withColumn(out, F.lit(None).cast("string")).select(*kept))
+    return Masked(rows, entries)
 
 
 def restore(df: DataFrame, vault: DataFrame, session: str, key: list[str] | None = None, text_col: str = "masked",
@@ -197,10 +229,13 @@ def restore(df: DataFrame, vault: DataFrame, session: str, key: list[str] | None
     text = strip_instruction(F.col(text_col)) if strip else F.col(text_col)
     columns = list(df.columns)
     work = df.withColumn("__text", text).withColumn("__tokens", find_placeholders(F.col("__text")))
-    base = stage(work.withColumns({
-        "__dirty": F.coalesce(F.size("__tokens") > 0, F.lit(False)), "__row": F.monotonically_increasing_id(),
-        "__session": _known_session(session)}), partition_by="__dirty")
-    dirty, clean = base.filter("__dirty"), base.filter("not __dirty")
+    named = F.coalesce(F.size("__tokens") > 0, F.lit(False))
+    more = {"__row": F.monotonically_increasing_id(), "__session": _known_session(session)}
+    if repeatable(df):  # only texts with tokens are written down; the others are read again
+        dirty, clean = stage(work.filter(named).withColumns(more)), work.filter(~named)
+    else:
+        base = stage(work.withColumns({"__dirty": named, **more}), partition_by="__dirty")
+        dirty, clean = base.filter("__dirty"), base.filter("not __dirty")
     tokens = dirty.select("__session", "__row", F.posexplode("__tokens").alias("__i", "s")).select(
         "__session", "__row", "__i", F.col("s.match").alias("token"))
     # Only the entries that these texts name.

@@ -54,10 +54,12 @@ def sanitize_policies(df: DataFrame, json_col: str = "policy_json") -> DataFrame
     return work.withColumns(columns).drop("__v")
 
 
-def with_defaults(policies: DataFrame) -> DataFrame:
-    """Fill the settings a policy leaves open."""
+def with_defaults(policies: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Fill the settings a policy leaves open (all of them, or those named)."""
     out = policies
     for _, name, kind, default in FIELDS:
+        if names is not None and name not in names:
+            continue
         if isinstance(default, list):
             value = F.array(*map(F.lit, default)).cast("array<string>")
         else:

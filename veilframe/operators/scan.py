@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -70,12 +71,14 @@ def _rule_columns(cfg: ScanConfig, app_id: str) -> dict[str, Column]:
     }
 
 
-def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, out: str = "detections") -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, out: str = "detections",
+         allowed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add ``out``: ``ARRAY<STRUCT<type, start, end, value, confidence, validator>>`` in reading order.
 
     The stages are separate projections on purpose: each text view is computed once and read by every rule. A rule
     runs only on rows that pass its gate, so a text without digits, cues and capitals costs a few passes. Filter
-    on other columns before scanning; filters do not move through the scan.
+    on other columns before scanning; filters do not move through the scan. ``allowed`` is a condition on candidates
+    (``type``, ``rank``, ``ord``) that may read the row's columns; what it refuses never suppresses another candidate.
     """
     cfg = cfg or ScanConfig()
     rules = active_rules(cfg)
@@ -113,6 +116,8 @@ def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, o
     work = work.withColumns(stage)
     work = work.withColumn(TEMP + "chunks", chunked(_t("plain"), _t("hits")))
     work = work.withColumn(TEMP + "found", parts["found"])
+    if allowed is not None:
+        work = work.withColumn(TEMP + "found", F.filter(_t("found"), allowed))
     # A hit found twice (two phone patterns, two secret views) is settled like any overlap: the first one stays.
     work = work.withColumn(TEMP + "ordered", F.array_sort(to_source(_t("found"), _t("shifts"))))
     work = work.withColumn(TEMP + "reach", running_max(F.transform(_t("ordered"), lambda c: c["end"])))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.plans.staging import in_blocks, stage
+from veilframe.plans.staging import BROADCAST_BYTES, in_blocks, stage
+
+SALTS = 64
 
 
 # Scheme, optional user, host (a bracketed address as it is), optional port. Java's parser refuses addresses that every
@@ -58,9 +60,23 @@ def recent_sessions(vault: DataFrame, n: int = 5) -> DataFrame:
     return session_summary(vault).orderBy("session_id").limit(n)
 
 
+def without_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``rows`` of other sessions than the given ones (column ``session_id``).
+
+    Few sessions are broadcast after their number was counted. Many are joined by session and a salt: each is repeated
+    once a salt, and a row takes one by its place, so one session with most rows is spread over ``SALTS`` tasks.
+    """
+    names = stage(sessions.filter("session_id IS NOT NULL").select("session_id").distinct())
+    if (names.agg(F.sum(F.octet_length("session_id") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(names), "session_id", "left_anti").select(*rows.columns)
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    salted = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(salted, ["session_id", "__salt"], "left_anti").select(*rows.columns)
+
+
 def forget(vault: DataFrame, sessions: DataFrame) -> DataFrame:
     """The vault without the given sessions (column ``session_id``)."""
-    return vault.join(sessions.select("session_id").distinct(), "session_id", "left_anti")
+    return without_sessions(vault, sessions)
 
 
 def migrate_sessions(vault: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:

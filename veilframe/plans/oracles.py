@@ -7,7 +7,7 @@ from __future__ import annotations
 from veilframe.functions.placeholders import INSTRUCTION
 from veilframe.operators import generate as g
 from veilframe.operators.persons import NOT_NAMES
-from veilframe.plans.queries import FULL_WIDTH_FROM, FULL_WIDTH_TO, HOSTS
+from veilframe.plans.queries import EXPANDING, FULL_WIDTH_FROM, FULL_WIDTH_TO, HOSTS
 from veilframe.sources.catalog import SITES
 
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -351,6 +351,22 @@ MOVED = f"""{VAULT}, {MOVES},
 URL = """CASE event_id % 3 WHEN 0 THEN 'https://chatgpt.com/' WHEN 1 THEN 'https://claude.ai/chat/' || (event_id % 50)
          ELSE 'https://claude.ai/new?x=1' END"""
 PLACE = "regexp_extract({0}, '^https://([^?]*)', 1)"
+# The history in one numbered time; every visit leaves an entry. A walk climbs from an entry's session along the moves; its
+# path lists when it came where, the last place first. Made somewhere counts as later than arriving there at that time.
+HISTORY = f"""RECURSIVE seen AS (SELECT event_id, user_id || '_' || {PLACE.format('url')} AS session,
+      {PLACE.format('url')} AS place, row_number() OVER (ORDER BY ts, event_id) AS tick, user_id, url
+    FROM (SELECT event_id, user_id, ts, {URL} AS url FROM events)),
+  steps AS (SELECT *, lag(session) OVER w AS f, lag(place) OVER w AS p, lag(url) OVER w AS u FROM seen
+            WINDOW w AS (PARTITION BY user_id ORDER BY tick)),
+  moves AS (SELECT event_id, f, session AS t, tick FROM steps
+            WHERE u <> url AND f <> session AND p IN ('chatgpt.com/', 'claude.ai/new', 'claude.ai/')),
+  up AS (SELECT m.*, n.tick AS parent FROM moves m ASOF LEFT JOIN moves n ON m.t = n.f AND m.tick < n.tick),
+  walk AS (SELECT e.event_id, e.session AS place, n.tick AS stay, 'u' || (e.event_id % 7) || '@mail.test' AS original,
+             [2 * e.tick + 1] AS path FROM seen e ASOF LEFT JOIN moves n ON e.session = n.f AND e.tick <= n.tick
+           UNION ALL SELECT w.event_id, m.t, m.parent, w.original, list_prepend(2 * m.tick, w.path)
+           FROM walk w JOIN up m ON m.tick = w.stay),
+  live AS (SELECT *, row_number() OVER (PARTITION BY coalesce('stay ' || stay, place), original ORDER BY path) = 1
+             OR stay IS NULL AND place NOT IN (SELECT t FROM up WHERE parent IS NULL) AS alive FROM walk)"""
 WIDE = "wide AS (SELECT doc_id, translate(text, '{0}', '{1}') AS shown, text FROM documents)".format(
     FULL_WIDTH_FROM, FULL_WIDTH_TO)
 NUMBERS = ", ".join(
@@ -360,6 +376,24 @@ NUMBERS = ", ".join(
         ("d13", 13, 32452843, "1"), ("d15", 15, 49979687, "3"), ("d16", 16, 67867967, "4"),
         ("d20", 20, 86028121, "40702")))
 
+TENANT = "regexp_extract({0}.source, '([0-9]+)$', 1)::INT % 6"
+ALLOWED = f"""CASE {TENANT} WHEN 0 THEN {{0}}.type IN ('EMAIL', 'IP_ADDRESS') AND {{0}}.confidence <> 'low'
+    WHEN 1 THEN {{0}}.type IN ('PHONE', 'CARD') WHEN 2 THEN {{0}}.confidence = 'high'
+    WHEN 3 THEN ({{0}}.type = 'EMAIL' OR {{0}}.type LIKE 'SECRET%') AND {{0}}.confidence <> 'low'
+    WHEN 4 THEN {{0}}.type IN ('PERSON', 'IP_ADDRESS') AND {{0}}.confidence <> 'low' ELSE {{0}}.confidence <> 'low' END"""
+CHOICE = "CASE doc_id % 4 WHEN 0 THEN 'mask' WHEN 1 THEN 'pass' WHEN 2 THEN 'drop' ELSE 'hold' END"
+GUARD_SEND = f"""WITH {MASKED.replace(NET_SPANS, NET_SPANS.replace('net AS', 'all_net AS', 1) + ', net AS (SELECT * FROM '
+        'all_net WHERE doc_id % 4 = 0)', 1)},
+  acts AS (SELECT *, CASE WHEN doc_id NOT IN (SELECT doc_id FROM all_net) THEN 'pass' ELSE {CHOICE} END AS action FROM masked)
+  SELECT doc_id, action, md5(CASE action WHEN 'mask' THEN masked || chr(10) || chr(10) || '{INSTRUCTION}'
+    WHEN 'pass' THEN text END) AS digest FROM acts"""
+
+SHOWN = "{0}"
+for plain, shown in EXPANDING:
+    SHOWN = f"replace({SHOWN}, '{plain}', '{shown}')"
+# Characters before a place, as shown: one less where the place is inside a ligature, whose first letter stands alone then.
+BEFORE = "length(" + SHOWN.format("substr(body, 1, {0})") + ") - (substr(body, {0}, 2) = 'fi')::INT"
+
 ORACLES = {
     "scan_email": f"SELECT doc_id, 'EMAIL' AS type, start, stop, value, 'high' AS confidence FROM "
                   f"({spans('documents', 'doc_id', 'text', EMAIL)})",
@@ -375,6 +409,9 @@ ORACLES = {
     "scan_pages": f"SELECT page_id, {TYPE} AS type, start, stop, value FROM ({spans('pages', 'page_id', 'html', NET)})",
     "scan_fullwidth": f"""WITH {WIDE} SELECT doc_id, {TYPE} AS type, start, stop,
         substr(shown, start + 1, stop - start) AS value FROM ({spans('wide', 'doc_id, shown', 'text', NET)})""",
+    "scan_expanding": f"""SELECT doc_id, type, start, stop, substr(shown, start + 1, stop - start) AS value FROM (
+        SELECT doc_id, {TYPE} AS type, {SHOWN.format('body')} AS shown, ({BEFORE.format('start')})::INT AS start,
+          ({BEFORE.format('(stop - 1)')} + 1)::INT AS stop FROM ({spans('documents', 'doc_id', 'text', NET)}))""",
     "type_counts": f"""WITH {NET_SPANS} SELECT doc_id, count(*) AS total, count(*) FILTER (type = 'EMAIL') AS emails,
         count(*) FILTER (type = 'IP_ADDRESS') AS ips FROM net GROUP BY doc_id""",
     "counts_by_source": net_roll("source"),
@@ -460,6 +497,32 @@ ORACLES = {
       FROM (SELECT *, lag(url) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous
             FROM (SELECT event_id, user_id, ts, {URL} AS url FROM events))
       WHERE previous <> url AND {PLACE.format('previous')} IN ('chatgpt.com/', 'claude.ai/new', 'claude.ai/')""",
+    "vault_expired": """WITH m AS (SELECT event_id, ts, user_id::VARCHAR AS s,
+          'u' || user_id || '.' || (event_id % 5) || '@mail.test' AS original FROM events),
+        g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS opens FROM m
+              WINDOW w AS (PARTITION BY s ORDER BY ts)),
+        p AS (SELECT *, sum(opens::INT) OVER (PARTITION BY s ORDER BY ts) AS spell FROM g),
+        open AS (SELECT s, max(spell) AS spell FROM p GROUP BY s HAVING max(ts) >= (SELECT max(ts) FROM p) - INTERVAL 6 HOUR),
+        f AS (SELECT s, spell, original, min((ts, event_id)) AS first FROM p JOIN open USING (s, spell) GROUP BY ALL)
+        SELECT s || '#' || spell AS session_id, row_number() OVER (PARTITION BY s ORDER BY first) AS seq, original,
+          '[EMAIL_' || row_number() OVER (PARTITION BY s ORDER BY first) || ']' AS placeholder FROM f""",
+    "navigation_migrated": f"""WITH {HISTORY} SELECT place AS session_id, original, '[EMAIL_' || event_id || ']' AS placeholder,
+        'EMAIL' AS type FROM live WHERE stay IS NULL AND alive""",
+    "navigation_migrated_report": f"""WITH {HISTORY},
+        gone AS (SELECT stay, count(*) AS had, count(*) FILTER (EXISTS (SELECT 1 FROM live b WHERE b.event_id = a.event_id
+          AND b.path[1] = 2 * a.stay AND b.alive)) AS went FROM live a WHERE stay IS NOT NULL AND alive GROUP BY stay)
+        SELECT event_id, f AS from_session, t AS to_session, coalesce(went, 0) AS migrated,
+          coalesce(had - went, 0) AS dropped FROM moves LEFT JOIN gone ON gone.stay = moves.tick""",
+    "scan_by_policy": f"""WITH {ALL_ROWS} SELECT * EXCLUDE source FROM ({contest(ALLOWED)})""",
+    "guard_send": GUARD_SEND,
+    "stream_guard_send": GUARD_SEND,
+    "guard_send_leaks": f"WITH {NET_SPANS} SELECT count(DISTINCT doc_id) AS leaks_prevented FROM net WHERE doc_id % 4 = 0",
+    "guard_send_by_policy": f"""WITH {ALL_ROWS}, hits AS (SELECT DISTINCT doc_id FROM ({contest(ALLOWED)})),
+        rows AS (SELECT source, {TENANT.format('documents')} AS k, CASE WHEN doc_id NOT IN (SELECT doc_id FROM hits)
+            OR {TENANT.format('documents')} = 0 OR {TENANT.format('documents')} = 2 AND doc_id % 2 = 0 THEN 'pass'
+          ELSE {CHOICE} END AS action FROM documents)
+        SELECT source, action, count(*) AS n, count(*) FILTER (action = 'mask' AND k <> 4) AS instructed FROM rows
+        GROUP BY ALL""",
     "site_match": f"""SELECT page_id, host, CASE {site_case} END AS site FROM (SELECT page_id,
         CASE WHEN page_id % 10 = 9 THEN lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))
              ELSE ({list(HOSTS)})[page_id % 10 + 1] END AS host FROM pages)""",
@@ -500,6 +563,6 @@ ORACLES = {
 }
 ORACLES["mask_documents_by_value"] = ORACLES["mask_documents"]
 ORACLES["restore_documents_by_value"] = ORACLES["restore_documents"]
-for name in ("vault_continued", "encrypt_roundtrip", "stream_mask"):
+for name in ("vault_continued", "encrypt_roundtrip", "stream_mask", "stream_mask_many"):
     ORACLES[name] = ORACLES["vault_entries"]
 ORACLES["stream_guard"] = ORACLES["guard_actions"]

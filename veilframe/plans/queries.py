@@ -11,7 +11,19 @@ from veilframe.config import DEFAULT_TYPES, ScanConfig
 from veilframe.functions import checksums as ck
 from veilframe.functions import placeholders as ph
 from veilframe.functions import textforms as tf
-from veilframe.operators import crypt, evaluate, generate, guard, mask, policy, sessions
+from veilframe.operators import (
+    crypt,
+    evaluate,
+    expiry,
+    generate,
+    guard,
+    mask,
+    migration,
+    policy,
+    send,
+    sessions,
+    tenants,
+)
 from veilframe.operators.detectors import Rule
 from veilframe.operators.scan import explode_detections, scan, scan_selection, type_counts
 from veilframe.plans.staging import shared_folder, stage
@@ -127,6 +139,20 @@ def scan_fullwidth(spark, sf):
         "doc_id", "type", "start", F.col("end").alias("stop"), "value")
 
 
+EXPANDING = (("fi", "\ufb01"), ("...", "\u2026"), ("e", "e\u0301"))
+
+
+def scan_expanding(spark, sf):
+    """Texts in which a ligature and an ellipsis stand for several characters and each ``e`` carries a mark: normalising
+    changes lengths everywhere, and spans carry the original characters."""
+    text = F.col("text")
+    for plain, shown in EXPANDING:
+        text = F.replace(text, F.lit(plain), F.lit(shown))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return explode_detections(scan(docs, "text", NET), ["doc_id"]).select(
+        "doc_id", "type", "start", F.col("end").alias("stop"), "value")
+
+
 def entropy(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.round(tf.entropy(
         F.concat("c_name", F.md5(F.col("c_custkey").cast("string")))), 6).alias("bits"))
@@ -281,16 +307,61 @@ def vault_forget(spark, sf):
 
 
 def navigation(spark, sf):
-    visits = table(spark, sf, "events").select(
-        F.col("user_id").alias("tab_id"), F.struct("ts", "event_id").alias("ts"),
-        F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit("https://chatgpt.com/")).when(
-            F.pmod("event_id", F.lit(3)) == 1, F.concat(
-                F.lit("https://claude.ai/chat/"), F.pmod("event_id", F.lit(50)).cast("string"))).otherwise(
-            F.lit("https://claude.ai/new?x=1")).alias("url"))
-    return sessions.navigation_moves(visits).select(
+    return sessions.navigation_moves(_visits(spark, sf)).select(
         F.col("ts.event_id").alias("event_id"), "from_session", "to_session")
 
 
+def _visits(spark, sf):
+    """A page history from the events: two kinds of draft pages, and chats; its place in time is one number."""
+    kind, n = F.pmod("event_id", F.lit(3)), F.pmod("event_id", F.lit(50)).cast("string")
+    return table(spark, sf, "events").select(
+        "event_id", F.col("user_id").alias("tab_id"), F.struct("ts", "event_id").alias("ts"),
+        F.when(kind == 0, F.lit("https://chatgpt.com/")).when(kind == 1, F.concat(
+            F.lit("https://claude.ai/chat/"), n)).otherwise(F.lit("https://claude.ai/new?x=1")).alias("url"))
+
+
+def _migrated(spark, sf):
+    """Each visit leaves an entry in its session; then the moves of the whole history are followed."""
+    visits = _visits(spark, sf)
+    entries = visits.select(
+        sessions.session_id(F.col("tab_id"), F.col("url")).alias("session_id"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("u"), F.pmod("event_id", F.lit(7)).cast("string"), F.lit("@mail.test")).alias("original"),
+        F.concat(F.lit("[EMAIL_"), F.col("event_id").cast("string"), F.lit("]")).alias("placeholder"),
+        F.lit("EMAIL").alias("type"), F.col("ts").alias("created"))
+    return migration.follow_moves(entries, sessions.navigation_moves(visits))
+
+
+IDLE_SECONDS = 6 * 3600
+
+
+def _messages(spark, sf):
+    """A message of each event; its writer names one of five addresses."""
+    return table(spark, sf, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("session"), "ts", F.concat(
+            F.lit("write to u"), F.col("user_id").cast("string"), F.lit("."), F.pmod("event_id", F.lit(5)).cast("string"),
+            F.lit("@mail.test")).alias("text"))
+
+
+def vault_expired(spark, sf):
+    """Entries of the sessions that are still alive at the last event, six idle hours allowed."""
+    scanned = scan(_messages(spark, sf), "text", NET)
+    spelled = expiry.mask_in_spells(scanned, "session", "ts", IDLE_SECONDS, ["ts", "event_id"])
+    now = spelled.found.agg(F.max("last_at").alias("now")).first()["now"]
+    open_ = expiry.alive(spelled.found, F.lit(now), IDLE_SECONDS)
+    sessions_ = open_.select(expiry.spell_session(F.col("session_id"), F.col("spell")).alias("session_id"))
+    return spelled.masked.entries.join(sessions_, "session_id", "left_semi").select(
+        "session_id", "seq", "original", "placeholder")
+
+
+def navigation_migrated(spark, sf):
+    return _migrated(spark, sf)[0].select("session_id", "original", "placeholder", "type")
+
+
+def navigation_migrated_report(spark, sf):
+    return _migrated(spark, sf)[1].select(
+        F.col("ts.event_id").alias("event_id"), "from_session", "to_session", "migrated", "dropped")
+
+
 def site_match(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.when(
         F.pmod("page_id", F.lit(10)) == 9, sessions.url_host(F.col("url"))).otherwise(
@@ -328,6 +399,52 @@ def policies_effective(spark, sf):
                         F.lit("grok"), F.col("guard_enabled"), F.col("guard_disabled_sites")).alias("grok_guarded"))
 
 
+TENANT_POLICIES = (
+    '{"enabledTypes":["EMAIL","IP_ADDRESS"],"guardEnabled":false}', '{"enabledTypes":["PHONE","CARD"],"minConfidence":"low"}',
+    '{"minConfidence":"high","guardDisabledSites":["claude"]}', '{"enabledTypes":["PERSON","SECRET","EMAIL"],"language":"ru"}',
+    '{"enabledTypes":["PERSON","IP_ADDRESS"],"language":"en","instructionEnabled":false}')
+
+
+def _tenant_policies(spark, sf):
+    """A policy for five of six sources; the others go by the defaults."""
+    n = F.pmod(F.regexp_extract("source", "([0-9]+)$", 1).cast("int"), F.lit(6))
+    raw = table(spark, sf, "documents").select("source").distinct().select(
+        "source", F.get(F.array(*map(F.lit, TENANT_POLICIES)), n).alias("policy_json"))
+    return policy.sanitize_policies(raw.filter("policy_json IS NOT NULL"))
+
+
+def scan_by_policy(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    found = explode_detections(tenants.scan_by_policy(docs, _tenant_policies(spark, sf), "source"), ["doc_id"])
+    return found.select("doc_id", "type", "start", F.col("end").alias("stop"), "value", "confidence")
+
+
+def _choices(docs):
+    return docs.withColumn("choice", F.get(F.array(*map(F.lit, ("mask", "send", "drop"))), F.pmod(
+        "doc_id", F.lit(4)).cast("int")))
+
+
+def guard_send(spark, sf):
+    """What leaves of each document, by its sender's choice; every fourth has none."""
+    docs = _choices(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    sent = send.guard_send(docs, "source", ["doc_id"], cfg=NET)
+    return sent.rows.select("doc_id", "action", F.md5("sent").alias("digest"))
+
+
+def guard_send_leaks(spark, sf):
+    docs = _choices(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return send.guard_send(docs, "source", ["doc_id"], cfg=NET).leaks
+
+
+def guard_send_by_policy(spark, sf):
+    """Guarded by each source's policy on a site; counted by source and action."""
+    docs = _choices(table(spark, sf, "documents").select("doc_id", "source", "text", F.when(
+        F.pmod("doc_id", F.lit(2)) == 0, F.lit("https://claude.ai/new")).otherwise(F.lit("https://poe.com/")).alias("url")))
+    sent = send.guard_send(docs, "source", ["doc_id"], policies=_tenant_policies(spark, sf), tenant="source", url_col="url")
+    return sent.rows.groupBy("source", "action").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.contains("sent", F.lit(ph.INSTRUCTION))).alias("instructed"))
+
+
 def leak_count(spark, sf):
     docs = guard.guard(scan(table(spark, sf, "documents").select("doc_id", "text"), "text", NET))
     choice = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("mask")).when(
@@ -417,6 +534,19 @@ def stream_guard(spark, sf):
     return both.groupBy("lang", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_guard_send(spark, sf):
+    """Guard to send as a stream, to its end, then the messages it published."""
+    from veilframe.streaming.messages import guard_send_stream
+
+    folder = f"{shared_folder(spark)}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    guard_send_stream(
+        _choices(_document_stream(spark, sf)), VaultTable(spark, f"{folder}/vault"), "source", ["doc_id"], f"{folder}/state",
+        lambda rows, batch: rows.select("doc_id", "action", "sent").write.mode("overwrite").parquet(
+            f"{folder}/sent/batch_id={batch}"), cfg=NET).trigger(availableNow=True).start().awaitTermination()
+    sent = spark.read.schema("doc_id bigint, action string, sent string").parquet(f"{folder}/sent")
+    return sent.select("doc_id", "action", F.md5("sent").alias("digest"))
+
+
 def stream_mask(spark, sf):
     """Masking as a stream, to its end, then the vault it wrote."""
     from veilframe.streaming.messages import mask_stream, scan_stream
@@ -430,6 +560,29 @@ def stream_mask(spark, sf):
     return vault.entries()
 
 
+def _many_batches(spark, sf, run):
+    """Documents dealt to five files by their number, read as a stream of one file a batch; the vault it wrote."""
+    folder = f"{shared_folder(spark)}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    step = (docs.agg(F.max("doc_id")).first()[0] or 0) // 5 + 1
+    for i in range(5):  # in the order in which the files are to be read
+        docs.filter((F.col("doc_id") >= i * step) & (F.col("doc_id") < (i + 1) * step)).coalesce(1).write.mode(
+            "append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    vault = VaultTable(spark, f"{folder}/vault", buckets=64)
+    run(stream, vault, folder).trigger(availableNow=True).start().awaitTermination()
+    return vault.entries()
+
+
+def stream_mask_many(spark, sf):
+    """Masking as a stream of several batches numbers as one batch does."""
+    from veilframe.streaming.messages import mask_stream, scan_stream
+
+    return _many_batches(spark, sf, lambda stream, vault, folder: mask_stream(
+        scan_stream(stream, "text", NET), vault, "source", ["doc_id"], f"{folder}/state",
+        lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/masked/batch_id={batch}")))
+
+
 QUERIES = {
     "type_counts_by_source_full": flagship,
     "scan_email": lambda s, d: _spans(s, d, ScanConfig(("EMAIL",)), confidence=True),
@@ -441,6 +594,7 @@ QUERIES = {
     "scan_secrets": scan_secrets,
     "scan_all_types": scan_all,
     "scan_fullwidth": scan_fullwidth,
+    "scan_expanding": scan_expanding,
     "type_counts": chips,
     "counts_by_source": partial(counts_by, "source"),
     "counts_by_lang": partial(counts_by, "lang"),
@@ -475,7 +629,15 @@ QUERIES = {
     "vault_migrate_report": vault_migrate_report,
     "vault_forget": vault_forget,
     "navigation_moves": navigation,
+    "vault_expired": vault_expired,
+    "navigation_migrated": navigation_migrated,
+    "navigation_migrated_report": navigation_migrated_report,
     "site_match": site_match,
+    "scan_by_policy": scan_by_policy,
+    "guard_send": guard_send,
+    "guard_send_leaks": guard_send_leaks,
+    "guard_send_by_policy": guard_send_by_policy,
+    "stream_guard_send": stream_guard_send,
     "guard_actions": guard_actions,
     "leak_count": leak_count,
     "policies_sanitized": policies_sanitized,
@@ -491,4 +653,5 @@ QUERIES = {
     "encrypt_roundtrip": encrypt_roundtrip,
     "stream_guard": stream_guard,
     "stream_mask": stream_mask,
+    "stream_mask_many": stream_mask_many,
 }
