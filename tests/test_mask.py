@@ -180,7 +180,12 @@ def test_encrypted_snapshot(spark, tmp_path):
     assert not store.exists() and store.read() is None
     store.save(crypt.encrypt_vault(vault, "right-pass"))
     assert store.exists()
-    shown = str(store.read().select("salt", "payload").collect())
+    shown = str(store.read().collect())
+    names = {r.session_id for r in vault.collect()}
+    assert not any(n in shown for n in names) and store.read().select("session_key").distinct().count() == len(names)
+    one = sorted(names)[0]
+    some = crypt.decrypt_vault(crypt.sealed_sessions(store.read(), "right-pass", [one, "none"]), "right-pass").collect()
+    assert sorted(some) == sorted(r for r in vault.collect() if r.session_id == one)
     assert "PERSON" not in shown and "original" not in shown
     opened = crypt.decrypt_vault(store.read(), "right-pass")
     assert sorted(opened.collect()) == sorted(vault.collect()) and crypt.session_count(opened) == 3

@@ -497,6 +497,27 @@ ORACLES = {
       FROM (SELECT *, lag(url) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous
             FROM (SELECT event_id, user_id, ts, {URL} AS url FROM events))
       WHERE previous <> url AND {PLACE.format('previous')} IN ('chatgpt.com/', 'claude.ai/new', 'claude.ai/')""",
+    "policies_roundtrip": f"""SELECT tenant, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 24 END AS n_types,
+        CASE k WHEN 4 THEN 'high' ELSE 'medium' END AS min_confidence, k <> 1 AS guard_enabled,
+        CASE k WHEN 4 THEN 'curly' WHEN 0 THEN 'guillemet' ELSE 'square' END AS placeholder_style, k <> 0 AS instruction_enabled,
+        CASE k WHEN 0 THEN 'en' ELSE 'auto' END AS language FROM {POLICY_ROWS}""",
+    "corpus_roundtrip": f"WITH {corpus()} SELECT md5(text) AS digest, type, value FROM labels",
+    "scan_two_views": """WITH t AS (SELECT o_orderkey, left(md5(o_orderkey::VARCHAR), 24) AS value,
+        13 AS start FROM orders)
+        SELECT o_orderkey, 'SECRET_KV' AS type, start, start + 24 AS stop, value FROM t""",
+    "scan_languages": f"""WITH {corpus()} SELECT id AS item_id, CASE WHEN regexp_matches(value, '[А-Яа-яЁё]') THEN 'ru'
+        ELSE 'en' END AS language, instr(text, value) - 1 AS start, value FROM labels WHERE type = 'PERSON'""",
+    "mask_pasted_tokens": f"""WITH {NET_SPANS},
+        f AS (SELECT source, value, type, doc_id, start FROM net
+          QUALIFY row_number() OVER (PARTITION BY source, value ORDER BY doc_id, start) = 1),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY doc_id, start) AS rn,
+          row_number() OVER (PARTITION BY source, type, doc_id ORDER BY start) AS k FROM f),
+        lifted AS (SELECT *, max(CASE WHEN type = 'EMAIL' AND doc_id % 3 = 0 THEN 4 ELSE 0 END - (rn - k)) OVER (
+          PARTITION BY source, type ORDER BY doc_id RANGE UNBOUNDED PRECEDING) AS lift FROM n)
+        SELECT source AS session_id, value AS original, '[' || type || '_' || (rn + greatest(lift, 0)) || ']' AS placeholder
+        FROM lifted""",
+    "snapshot_roundtrip": f"WITH {VAULT} SELECT *, false AS before, true AS stored, false AS left FROM vault",
+    "vault_cleared": f"WITH {VAULT} SELECT count(*) AS stored, 0 AS left FROM vault",
     "vault_expired": """WITH m AS (SELECT event_id, ts, user_id::VARCHAR AS s,
           'u' || user_id || '.' || (event_id % 5) || '@mail.test' AS original FROM events),
         g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, true) AS opens FROM m

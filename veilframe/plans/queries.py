@@ -27,6 +27,7 @@ from veilframe.operators import (
 from veilframe.operators.detectors import Rule
 from veilframe.operators.scan import explode_detections, scan, scan_selection, type_counts
 from veilframe.plans.staging import shared_folder, stage
+from veilframe.sources import files
 from veilframe.sources.catalog import match_site
 from veilframe.sources.files import VaultTable, spread
 
@@ -331,6 +332,74 @@ def _migrated(spark, sf):
     return migration.follow_moves(entries, sessions.navigation_moves(visits))
 
 
+def _folder(spark):
+    return f"{shared_folder(spark)}/query-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+
+
+def policies_roundtrip(spark, sf):
+    """Settings out to JSON and in again."""
+    full = policy.with_defaults(policy.sanitize_policies(_policies(spark, sf)))
+    again = policy.sanitize_policies(policy.policies_to_json(full).select("tenant", "policy_json"))
+    return again.select("tenant", F.size("enabled_types").alias("n_types"), "min_confidence", "guard_enabled",
+                        "placeholder_style", "instruction_enabled", "language")
+
+
+def corpus_roundtrip(spark, sf):
+    """The labelled texts written as JSON and read again, one row a label."""
+    path = f"{_folder(spark)}/corpus"
+    files.write_corpus(generated(spark, sf), path)
+    return files.read_corpus(spark, path, multi_line=False).select(
+        F.md5("text").alias("digest"), F.explode("expected").alias("x")).select("digest", "x.type", "x.value")
+
+
+def scan_two_views(spark, sf):
+    """Keys that only one view of the text shows: a Latin word with a Cyrillic letter, and a Cyrillic word."""
+    value = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 24)
+    texts = table(spark, sf, "orders").select("o_orderkey", F.when(
+        F.pmod("o_orderkey", F.lit(2)) == 0, F.concat(F.lit("set \u0430pi_key: "), value)).otherwise(
+        F.concat(F.lit("вход: пароль="), value)).alias("text"))
+    return explode_detections(scan(texts, "text", ScanConfig(("SECRET",))), ["o_orderkey"]).select(
+        "o_orderkey", "type", "start", F.col("end").alias("stop"), "value")
+
+
+def scan_languages(spark, sf):
+    """Names under each language setting."""
+    out = None
+    for language in ("ru", "en"):
+        found = explode_detections(scan(generated(spark, sf), "text", ScanConfig(("PERSON",), language=language)), ["item_id"])
+        rows = found.select("item_id", F.lit(language).alias("language"), "start", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mask_pasted_tokens(spark, sf):
+    """Every third text begins with a placeholder someone pasted; new numbers continue behind it."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.when(
+        F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("[EMAIL_4] "), "text")).otherwise(F.col("text")).alias("text"))
+    return mask.mask(scan(docs, "text", NET), "source", ["doc_id"]).entries.select("session_id", "original", "placeholder")
+
+
+def snapshot_roundtrip(spark, sf):
+    """The vault sealed, stored, found, opened and deleted."""
+    snapshot = files.SnapshotTable(spark, f"{_folder(spark)}/snapshot")
+    before = snapshot.exists()
+    snapshot.save(crypt.encrypt_vault(_masked(spark, sf).entries, "correct horse battery staple"))
+    stored = snapshot.exists()
+    entries = stage(crypt.decrypt_vault(snapshot.read(), "correct horse battery staple"))
+    snapshot.clear()
+    return entries.select("*", F.lit(before).alias("before"), F.lit(stored).alias("stored"),
+                          F.lit(snapshot.exists()).alias("left"))
+
+
+def vault_cleared(spark, sf):
+    """Everything forgotten at once; what was stored stays readable until then."""
+    store = VaultTable(spark, f"{_folder(spark)}/vault")
+    store.append(_masked(spark, sf).entries)
+    stored = store.entries().count()
+    store.clear()
+    return store.entries().agg(F.lit(stored).cast("bigint").alias("stored"), F.count(F.lit(1)).alias("left"))
+
+
 IDLE_SECONDS = 6 * 3600
 
 
@@ -629,6 +698,13 @@ QUERIES = {
     "vault_migrate_report": vault_migrate_report,
     "vault_forget": vault_forget,
     "navigation_moves": navigation,
+    "policies_roundtrip": policies_roundtrip,
+    "corpus_roundtrip": corpus_roundtrip,
+    "scan_two_views": scan_two_views,
+    "scan_languages": scan_languages,
+    "mask_pasted_tokens": mask_pasted_tokens,
+    "snapshot_roundtrip": snapshot_roundtrip,
+    "vault_cleared": vault_cleared,
     "vault_expired": vault_expired,
     "navigation_migrated": navigation_migrated,
     "navigation_migrated_report": navigation_migrated_report,
