@@ -40,6 +40,14 @@ def quality(matched: DataFrame) -> DataFrame:
                        F.try_divide("persons_matched", "persons_expected").alias("person_recall"))
 
 
+def by_type(matched: DataFrame) -> DataFrame:
+    """Per type: labels, detections, matches, precision and recall (NULL where there is nothing to divide by)."""
+    sums = matched.groupBy("type").agg(
+        F.sum("n_expected").alias("expected"), F.sum("n_detected").alias("detected"), F.sum("n_matched").alias("matched"))
+    return sums.select("*", F.try_divide("matched", "detected").alias("precision"),
+                       F.try_divide("matched", "expected").alias("recall"))
+
+
 def passes_gate(q: DataFrame) -> DataFrame:
     return q.withColumn("passed", (F.col("precision") >= MIN_PRECISION) & (F.col("recall") >= MIN_RECALL)
                         & (F.col("person_recall") >= MIN_PERSON_RECALL))

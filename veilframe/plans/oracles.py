@@ -394,6 +394,13 @@ for plain, shown in EXPANDING:
 # Characters before a place, as shown: one less where the place is inside a ligature, whose first letter stands alone then.
 BEFORE = "length(" + SHOWN.format("substr(body, 1, {0})") + ") - (substr(body, {0}, 2) = 'fi')::INT"
 
+# What each template of the hard texts is labelled with, and what the rules find in it.
+HARD = """hard AS (SELECT unnest([{'k': 0, 't': 'RU_PASSPORT', 'e': 1, 'd': 0}, {'k': 1, 't': 'IBAN', 'e': 1, 'd': 0},
+    {'k': 2, 't': 'PHONE', 'e': 1, 'd': 0}, {'k': 3, 't': 'PERSON', 'e': 1, 'd': 0}, {'k': 4, 't': 'PERSON', 'e': 1, 'd': 0},
+    {'k': 5, 't': 'PERSON', 'e': 1, 'd': 0}, {'k': 6, 't': 'PERSON', 'e': 1, 'd': 1}, {'k': 7, 't': 'SECRET_KV', 'e': 1, 'd': 1},
+    {'k': 8, 't': 'EMAIL', 'e': 1, 'd': 1}, {'k': 9, 't': 'CARD', 'e': 0, 'd': 1}], recursive := true)),
+  found AS (SELECT hard.* FROM customer JOIN hard ON c_custkey % 16 = k)"""
+
 ORACLES = {
     "scan_email": f"SELECT doc_id, 'EMAIL' AS type, start, stop, value, 'high' AS confidence FROM "
                   f"({spans('documents', 'doc_id', 'text', EMAIL)})",
@@ -569,6 +576,16 @@ ORACLES = {
         count(*) FILTER (type = 'PERSON') AS p FROM labels)
         SELECT s AS expected, s AS detected, s AS matched, p AS persons_expected, p AS persons_matched,
           1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS person_recall, true AS passed FROM n""",
+    "hard_corpus_quality": f"""WITH {HARD}, n AS (SELECT sum(e) FILTER (t <> 'PERSON') AS expected,
+        sum(d) FILTER (t <> 'PERSON') AS detected, sum(e * d) FILTER (t <> 'PERSON') AS matched,
+        sum(e) FILTER (t = 'PERSON') AS persons_expected, sum(e * d) FILTER (t = 'PERSON') AS persons_matched FROM found)
+        SELECT * REPLACE (expected::BIGINT AS expected, detected::BIGINT AS detected, matched::BIGINT AS matched,
+            persons_expected::BIGINT AS persons_expected, persons_matched::BIGINT AS persons_matched),
+          matched::DOUBLE / detected AS precision, matched::DOUBLE / expected AS recall,
+          persons_matched::DOUBLE / persons_expected AS person_recall, false AS passed FROM n""",
+    "hard_corpus_by_type": f"""WITH {HARD}, n AS (SELECT t AS type, sum(e)::BIGINT AS expected, sum(d)::BIGINT AS detected,
+        sum(e * d)::BIGINT AS matched FROM found GROUP BY t) SELECT *, matched / nullif(detected, 0)::DOUBLE AS precision,
+        matched / nullif(expected, 0)::DOUBLE AS recall FROM n""",
     "silent_negatives": "SELECT c_custkey AS item_id, 0 AS detections FROM customer WHERE c_custkey % 16 >= 14",
     "group_rollup": f"""WITH {corpus()} SELECT CASE {group_case} ELSE 'tech' END AS type_group, count(*) AS n
         FROM labels GROUP BY 1""",

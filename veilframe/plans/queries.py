@@ -545,6 +545,22 @@ def corpus_quality(spark, sf):
         "person_recall", "passed")
 
 
+def _hard_matches(spark, sf):
+    texts = generate.labelled_corpus(table(spark, sf, "customer").select("c_custkey"), "c_custkey", "hard")
+    return evaluate.matches(stage(scan(texts, "text", CORPUS)), "item_id")
+
+
+def hard_corpus_quality(spark, sf):
+    """Texts that the rules miss, mistake or must leave alone: precision and recall stay below 1 and fail the gate."""
+    return evaluate.passes_gate(evaluate.quality(_hard_matches(spark, sf))).select(
+        "expected", "detected", "matched", "persons_expected", "persons_matched", "precision", "recall",
+        "person_recall", "passed")
+
+
+def hard_corpus_by_type(spark, sf):
+    return evaluate.by_type(_hard_matches(spark, sf))
+
+
 def silent_negatives(spark, sf):
     scanned = scan(generated(spark, sf).filter(F.size("expected") == 0), "text", CORPUS)
     return scanned.select("item_id", F.size("detections").alias("detections"))
@@ -722,6 +738,8 @@ QUERIES = {
     "generated_scan": generated_scan,
     "generated_business_scan": generated_business_scan,
     "corpus_quality": corpus_quality,
+    "hard_corpus_quality": hard_corpus_quality,
+    "hard_corpus_by_type": hard_corpus_by_type,
     "silent_negatives": silent_negatives,
     "group_rollup": group_rollup,
     "scan_selection": selection,
