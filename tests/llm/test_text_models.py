@@ -28,6 +28,36 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_equals_plain_search(spark):
+    """Scores of all texts and of hard ones against one search of each term in each folded text."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    learned = toxicity.learned_from(docs(spark), labels)
+    terms = learned.terms | {"scum": 2.5, "scumbag": 1.5, "bag": 0.5}
+    lexicon = toxicity.Lexicon(terms, (*learned.exceptions, "bag of flour", "scum line"), learned.function)
+    hard = ["5cum 5CUMBAG bag", "a bag of flour, a bag", "scum line scum", "scum" * 50, "\u0455\u0441um!", "", None, "İ scum",
+            "bag " * 3000, "scums bags xbag", "scum-bag scum_bag scum2"]
+    df = docs(spark).select("text").unionByName(spark.createDataFrame([(t,) for t in hard], "text string"))
+    a, b, c = lexicon.function
+    for r in toxicity.toxicity(df, lexicon).collect():
+        plain = (r.text or "").lower()
+        folded = plain.translate(toxicity.FOLD)
+
+        def places(word, folded=folded, plain=plain):
+            at = folded.find(word)
+            while at >= 0:
+                end = at + len(word)
+                if not (at and plain[at - 1].isalpha()) and not (end < len(plain) and plain[end].isalpha()):
+                    yield at, end
+                at = folded.find(word, at + 1)
+
+        excused = [p for phrase in lexicon.exceptions for p in places(phrase)]
+        weights = [w for term, w in terms.items() for s, e in places(term) if not any(x <= s and e <= y for x, y in excused)]
+        total, words = sum(weights), len((r.text or "").split())
+        assert r.n_terms == len(weights) and r.weight == pytest.approx(total)
+        odds = a + b * np.log1p(total) + c * np.log1p(100 * total / max(words, 1))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-12)
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 5.0, toxicity.fold("trash"): 4.0},
                                (toxicity.fold("trash can"),))

@@ -67,7 +67,24 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings LEFT JOIN n ON x = vec_id JOIN c ON a = vec_id
 """
 
+# The checksum is reckoned byte by byte with the table of the reflected polynomial 0xEDB88320.
+SHARDING = """
+WITH tab AS (SELECT list(list_reduce(range(8), lambda a, x:
+    CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+b AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+      FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]), 4294967295),
+        4294967295) AS text_crc32 FROM b, tab),
+r AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS run,
+        sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST((2 * run - size) * 40 // (2 * total) AS INT) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard
+    ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
 ORACLES = {
+    "op6_sharding": SHARDING,
     "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op8_ngram_join": NGRAM_JOIN,
     "op1_substring_dedup": SUBSTRING_DEDUP,
