@@ -74,9 +74,11 @@ def test_chain_reused_draft_and_conflicts(spark):
     assert {r.seq for r in rows if r.session_id == "/x"} == {5, 7}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_histories(spark, seed):
-    """Two drafts that are left again and again, and chats that are met again: long chains and nested conflicts."""
+@pytest.mark.parametrize("seed, rows", [(0, 20_000), (1, 20_000), (2, 0), (3, 60)])
+def test_random_histories(spark, monkeypatch, seed, rows):
+    """Two drafts that are left again and again, and chats that are met again: long chains and nested conflicts; all trees
+    replayed one a group, all level by level, or some either way."""
+    monkeypatch.setattr(migration, "REPLAY_ROWS", rows)
     rng = random.Random(seed)
     vault, moves = [], []
     for tab in range(12):

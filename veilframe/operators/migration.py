@@ -7,17 +7,22 @@ was made and goes up to the root, unless an entry that came before it to one of
 placeholder: then it is dropped there.
 
 The forest is resolved by as-of joins and pointer doubling. Only entries that share a value or a placeholder with another
-one of the same root can meet a rival; these go up level by level, all trees of a level at once.
+one of the same root can meet a rival. Small trees of these are replayed one a group; in large ones they go up level by
+level, all trees of a level at once.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.plans.staging import block_offsets, in_blocks, next_after, stage
 
 CREATED = "created"
+REPLAY_ROWS = 20_000
 
 
 def _no_stay() -> Column:
@@ -114,6 +119,53 @@ def _contest(rivals: DataFrame, ended: DataFrame) -> DataFrame:
     return stage(lost)
 
 
+def _order(value):
+    """A key that sorts a value as Spark does: nulls first, structs field by field."""
+    if value is None:
+        return (0,)
+    return (1, *map(_order, value.values())) if isinstance(value, dict) else (1, value)
+
+
+def _replay(rivals: pa.Table, ended: pa.Table) -> pa.Table:
+    """:func:`_contest` for one root: its stays in the order of their ends."""
+    waiting, lost = defaultdict(list), []
+    for r in rivals.to_pylist():
+        made = _order(r["created"])
+        waiting[r["stay"]].append(((made, True, made, _order(r["seq"]), r["entry"]), r, None))
+
+    def left(place):
+        values, tokens, kept = set(), set(), []
+        for rank, r, via in sorted(waiting.pop(place, []), key=lambda x: x[0]):
+            value, token = r["original"], r["placeholder"]
+            if (value is not None and value in values) or (token is not None and token in tokens):
+                lost.append((r["entry"], place, via))
+            else:
+                values.add(value)
+                tokens.add(token)
+                kept.append((rank, r))
+        return kept
+
+    for at, stay, parent in sorted((_order(s["at"]), s["stay"], s["parent"]) for s in ended.to_pylist()
+                                   if s["stay"] is not None) if len(rivals) else ():
+        waiting[parent] += [((at, False, *rank[2:]), r, stay) for rank, r in left(stay)]
+    left(None)
+    columns = list(zip(*lost)) or [[], [], []]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["entry", "stay", "via"])
+
+
+def _dropped(rivals: DataFrame, ended: DataFrame) -> DataFrame:
+    """What :func:`_contest` gives. A root of at most ``REPLAY_ROWS`` rivals and stays is replayed in one go, all such roots
+    at once; larger ones, however large, go up level by level over all tasks."""
+    counted = rivals.select("root").unionByName(ended.select("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = stage(counted.filter(F.col("n") > REPLAY_ROWS).select("root"))  # fewer than one in REPLAY_ROWS
+    small = [x.join(F.broadcast(large), "root", "left_anti") for x in (rivals, ended.select("root", "stay", "at", "parent"))]
+    lost = small[0].groupBy("root").cogroup(small[1].groupBy("root")).applyInArrow(
+        _replay, "entry long, stay long, via long")
+    if large.limit(1).count():
+        lost = lost.unionByName(_contest(rivals.join(F.broadcast(large), "root", "left_semi"), ended))
+    return stage(lost)
+
+
 def _renumbered(entries: DataFrame) -> DataFrame:
     """``seq`` from 1 by time of arrival, then of creation, in each session; a large session is spread over blocks."""
     order = ["arrived", "made", "created", "seq", "entry"]
@@ -154,7 +206,7 @@ def follow_moves(vault: DataFrame, moves: DataFrame, at: str = "ts",
         moving = moving.join(shared, ["root", key], "left")
     moving = stage(moving)
     contested = F.coalesce("same_original", "same_placeholder", F.lit(False))
-    lost = _contest(moving.filter(contested).select(
+    lost = _dropped(moving.filter(contested).select(
         "entry", "original", "placeholder", "stay", "depth", "root", "created", "seq"), ended)
 
     kept = moving.join(lost.select("entry"), "entry", "left_anti").withColumn("session_id", F.col("root"))
