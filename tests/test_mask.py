@@ -114,9 +114,9 @@ def test_restore_and_isolation(spark, small):
 
 
 def test_round_trip_of_scanned_texts(spark):
-    entities = ["test.user42@example.com", "+7 (916) 123-45-67", "123-456-789 64", "ИНН 7712345671", "ОГРН 1207700012343",
+    entities = ["nora.quill7@post.example", "+7 (916) 123-45-67", "123-456-789 64", "ИНН 7712345671", "ОГРН 1207700012343",
                 "карта 2200 1234 5678 9019", "IBAN DE12500105170648489890", "192.168.10.42", "Иванов Иван Иванович",
-                "Саше Иванову", "Dr. John Smith", "паспорт 4510 123456 выдан", "пароль=Sup3rSecretVal99"]
+                "Саше Иванову", "Dr. John Smith", "паспорт 4510 123456 выдан", "пароль=Gr4niteHarbor77"]
     rnd = random.Random(2)
     texts = [(f"s{i % 7}", i, " ".join(
         rnd.choice(entities) if rnd.random() < 0.4 else rnd.choice(("договор", "подписан", "вчера,", "офис.", "без"))
@@ -178,19 +178,19 @@ def test_encrypted_snapshot(spark, tmp_path):
     vault = spark.createDataFrame(VAULT, VAULT_SCHEMA)
     store = SnapshotTable(spark, str(tmp_path / "snapshot"))
     assert not store.exists() and store.read() is None
-    store.save(crypt.encrypt_vault(vault, "right-pass"))
+    store.save(crypt.encrypt_vault(vault, "amber-gate"))
     assert store.exists()
     shown = str(store.read().collect())
     names = {r.session_id for r in vault.collect()}
     assert not any(n in shown for n in names) and store.read().select("session_key").distinct().count() == len(names)
     one = sorted(names)[0]
-    some = crypt.decrypt_vault(crypt.sealed_sessions(store.read(), "right-pass", [one, "none"]), "right-pass").collect()
+    some = crypt.decrypt_vault(crypt.sealed_sessions(store.read(), "amber-gate", [one, "none"]), "amber-gate").collect()
     assert sorted(some) == sorted(r for r in vault.collect() if r.session_id == one)
     assert "PERSON" not in shown and "original" not in shown
-    opened = crypt.decrypt_vault(store.read(), "right-pass")
+    opened = crypt.decrypt_vault(store.read(), "amber-gate")
     assert sorted(opened.collect()) == sorted(vault.collect()) and crypt.session_count(opened) == 3
     with pytest.raises(crypt.WrongPassphrase):
-        crypt.decrypt_vault(store.read(), "wrong-pass")
+        crypt.decrypt_vault(store.read(), "other-gate")
     store.clear()
     assert not store.exists()
 

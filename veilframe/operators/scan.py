@@ -72,15 +72,16 @@ def _rule_columns(cfg: ScanConfig, app_id: str) -> dict[str, Column]:
 
 
 def scan(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None = None, out: str = "detections",
-         allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+         allowed: Callable[[Column], Column] | None = None, where: Column | str | None = None) -> DataFrame:
     """Add ``out``: ``ARRAY<STRUCT<type, start, end, value, confidence, validator>>`` in reading order.
 
     The stages are separate projections on purpose: each text view is computed once and read by every rule. A rule
-    runs only on rows that pass its gate, so a text without digits, cues and capitals costs a few passes. Filter
-    on other columns before scanning; filters do not move through the scan. ``allowed`` is a condition on candidates
+    runs only on rows that pass its gate, so a text without digits, cues and capitals costs a few passes. ``where`` names
+    the rows to keep; it is applied to the source and reaches the files, while later filters do not move through the scan. ``allowed`` is a condition on candidates
     (``type``, ``rank``, ``ord``) that may read the row's columns; what it refuses never suppresses another candidate.
     """
     cfg = cfg or ScanConfig()
+    df = df if where is None else df.filter(where)
     rules = active_rules(cfg)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
